@@ -31,7 +31,7 @@ COMMON = {
 _SPLIT = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 # Character classes, each the characters removed by its pattern.
-_CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\s", r"[.,;:!?'\"()\-]", r"[#*$%&|<>@/\\_=+~^{}\[\]`]")
+_CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>@/\\_=+~^{}\[\]`]")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,14 +69,17 @@ def _histograms(text: Column, lang: Column) -> tuple[Column, Column]:
     chars = _let(F.array(*sizes), lambda s: F.transform(F.sequence(F.lit(0), F.lit(len(_CLASSES))), lambda k: (F.get(s, k) - F.coalesce(F.get(s, k + 1), F.lit(0))).cast("double")))
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
     every = F.when(F.lit(False), F.array().cast("array<double>"))
-    for name, common in COMMON.items():
 
-        def counts(p: Column, common=common) -> Column:
+    def counter(common: tuple) -> Callable[[Column], Column]:
+        def counts(p: Column) -> Column:
             found = [((F.length(p) - F.length(F.replace(p, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in common]
             total = F.size(F.filter(F.split(p, " +"), lambda x: x != "")).cast("double")
             return _let(F.array(*found), lambda f: F.concat(f, F.array(total - F.aggregate(f, F.lit(0.0), lambda a, x: a + x))))
 
-        every = every.when(lang == name, _let(padded, counts))
+        return counts
+
+    for name, common in COMMON.items():
+        every = every.when(lang == name, _let(padded, counter(common)))
     return chars, every.otherwise(F.array().cast("array<double>"))
 
 
@@ -103,7 +106,7 @@ def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return sums.select("ref_lang", _shares(F.array(*[F.col(f"c{k}") for k in range(len(_CLASSES) + 1)])).alias("ref_chars"), _shares(words).alias("ref_words"))
 
 
-def judged(docs: DataFrame, most_chars: float = 0.25, most_words: float = 0.45, least_chars: int = 200, least_words: int = 60) -> DataFrame:
+def judged(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> DataFrame:
     """``docs`` as struct ``row`` with base counts, both distances and the verdict ``kept`` beside it."""
     told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if docs.columns else docs
     told = told.select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("l"))
@@ -136,3 +139,53 @@ def filtered(docs: DataFrame, **options) -> DataFrame:
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     out = judged(shared.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _op8_sql(most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> str:
+    def quoted(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    rest, sizes = "t", ["length(t)"]
+    for pattern in _CLASSES:
+        rest = f"regexp_replace({rest}, {quoted(pattern)}, '', 'g')"
+        sizes.append(f"length({rest})")
+    n = len(_CLASSES)
+    lists = " ".join(f"WHEN {quoted(name)} THEN [{', '.join(quoted(w) for w in common)}]" for name, common in COMMON.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l FROM documents),
+base AS (
+  SELECT rid, doc_id, t, l, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    [{', '.join(sizes)}, 0] AS s, CASE l {lists} END AS common,
+    list_filter(string_split(regexp_replace(lower(t), '[^\p{{L}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS lw FROM d),
+wins AS (SELECT rid, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM base WHERE len(ws) >= 8)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(0, 8) AS r(k) GROUP BY rid),
+hist AS (
+  SELECT *, list_transform(range(1, {n + 2}), lambda k: CAST(s[k] - s[k + 1] AS DOUBLE)) AS c,
+    CASE WHEN common IS NULL THEN [] ELSE list_concat(list_transform(common, lambda w: CAST(len(list_filter(lw, lambda x: x = w)) AS DOUBLE)),
+      [CAST(len(list_filter(lw, lambda x: NOT list_contains(common, x))) AS DOUBLE)]) END AS w FROM base),
+each AS (
+  SELECT *, CASE WHEN list_sum(c) > 0 THEN list_transform(c, lambda x: x / list_sum(c)) ELSE list_transform(c, lambda x: 0.0) END AS hc,
+    CASE WHEN len(w) > 0 AND list_sum(w) > 0 THEN list_transform(w, lambda x: x / list_sum(w)) ELSE list_transform(w, lambda x: 0.0) END AS hw FROM hist),
+cells AS (SELECT l, 'c' AS kind, unnest(c) AS v, generate_subscripts(c, 1) AS k FROM hist UNION ALL SELECT l, 'w', unnest(w), generate_subscripts(w, 1) FROM hist),
+sums AS (SELECT l, kind, k, sum(v) AS v FROM cells GROUP BY ALL),
+refs AS (SELECT l, kind, list(CASE WHEN total > 0 THEN v / total ELSE 0 END ORDER BY k) AS q FROM (SELECT *, sum(v) OVER (PARTITION BY l, kind) AS total FROM sums) GROUP BY l, kind),
+far AS (
+  SELECT each.*, sqrt(greatest(0, list_sum(list_transform(range(1, len(hc) + 1), lambda k: (CASE WHEN hc[k] > 0 THEN hc[k] * log2(hc[k] / ((hc[k] + rc.q[k]) / 2)) ELSE 0 END + CASE WHEN rc.q[k] > 0 THEN rc.q[k] * log2(rc.q[k] / ((hc[k] + rc.q[k]) / 2)) ELSE 0 END) / 2)))) AS dc,
+    sqrt(greatest(0, list_sum(list_transform(range(1, len(hw) + 1), lambda k: (CASE WHEN hw[k] > 0 THEN hw[k] * log2(hw[k] / ((hw[k] + rw.q[k]) / 2)) ELSE 0 END + CASE WHEN rw.q[k] > 0 THEN rw.q[k] * log2(rw.q[k] / ((hw[k] + rw.q[k]) / 2)) ELSE 0 END) / 2)))) AS dw
+  FROM each LEFT JOIN refs rc ON rc.l = each.l AND rc.kind = 'c' LEFT JOIN refs rw ON rw.l = each.l AND rw.kind = 'w'),
+told AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    len(ws) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(ws) AS base_failed, length(t) AS points, dc, dw
+  FROM far LEFT JOIN covered ON far.rid = covered.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (points >= {least_chars} AND coalesce(dc, 0) > {most_chars}) AND NOT (n_words >= {least_words} AND coalesce(dw, 0) > {most_words}) AS kept,
+  round(dc, 6) AS char_distance, round(dw, 6) AS word_distance
+FROM told
+"""
+
+
+OP8_SQL = _op8_sql()

@@ -16,6 +16,7 @@ ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
+    "op8_quality": quality.OP8_SQL,
     "op9_sharding": sharding.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
 }

@@ -15,6 +15,7 @@ table gives no rows; ``filtered`` passes further columns through, whatever their
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,8 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "y", "los", "del", "las", "un", "por", "con", "no", "una", "para", "es"),
 }
 _SPLIT = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
 # Character classes, each the characters removed by its pattern.
-_CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>@/\\_=+~^{}\[\]`]")
+_CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,8 +39,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _repeat_words(words: Column, size: int = 8) -> Column:
-    """Words inside windows of ``size`` words that occur twice or more in the text."""
+def _repeat_words(windows: Column, size: int = 8) -> Column:
+    """Words inside windows of ``size`` words that occur twice or more, by the windows' hashes."""
 
     def covered(hashes: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -54,33 +54,71 @@ def _repeat_words(words: Column, size: int = 8) -> Column:
         # words covered by sorted windows: the step to the next one, at most a window
         return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-size).alias("end")), lambda a, i: F.struct((a["n"] + (i + size - F.greatest(i, a["end"])).cast("long")).alias("n"), (i + size).alias("end")), lambda a: a["n"])
 
-    windows = F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
-    return _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_let(windows, covered))
 
 
-def _histograms(text: Column, lang: Column) -> tuple[Column, Column]:
-    """Counts of character classes (and the rest), and of the language's common words (and the rest)."""
-    rest, classes = text, []
-    sizes = [F.length(text)]
-    for pattern in _CLASSES:
-        rest = F.regexp_replace(rest, pattern, "")
-        sizes.append(F.length(rest))
-    # each pattern is removed from what the one before left, so differences are class counts
-    chars = _let(F.array(*sizes), lambda s: F.transform(F.sequence(F.lit(0), F.lit(len(_CLASSES))), lambda k: (F.get(s, k) - F.coalesce(F.get(s, k + 1), F.lit(0))).cast("double")))
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
-    every = F.when(F.lit(False), F.array().cast("array<double>"))
+def _doubled(name: str, step: int) -> Column:
+    """Hashes of runs twice as long: each with the one ``step`` positions on (the tail pairs with null)."""
+    return F.zip_with(F.col(name), F.slice(F.col(name), F.lit(step + 1), F.size(name)), lambda a, b: F.xxhash64(a, b))
+
+
+def _letter(list_of: str, codes: str, word: Column) -> Column:
+    at = F.call_function("instr", F.lit(list_of), F.concat(F.lit(" "), word, F.lit(" ")))
+    return F.substring(F.lit(codes), F.greatest(at, F.lit(1)), F.lit(1))
+
+
+def _letter_counts(letters: tuple, text: Column) -> Column:
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in letters])
 
-    def counter(common: tuple) -> Callable[[Column], Column]:
-        def counts(p: Column) -> Column:
-            found = [((F.length(p) - F.length(F.replace(p, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in common]
-            total = F.size(F.filter(F.split(p, " +"), lambda x: x != "")).cast("double")
-            return _let(F.array(*found), lambda f: F.concat(f, F.array(total - F.aggregate(f, F.lit(0.0), lambda a, x: a + x))))
 
-        return counts
+def _common_counts(words: Column, lang: Column) -> Column:
+    """Counts of the language's common words, then of all other words; empty for other languages.
 
+    Each word becomes one letter (its place in the list, '.' for any other), so that a text is a
+    short string whose letters are counted.
+    """
+    out = F.when(F.lit(False), F.array().cast("array<double>"))
     for name, common in COMMON.items():
-        every = every.when(lang == name, _let(padded, counter(common)))
-    return chars, every.otherwise(F.array().cast("array<double>"))
+        letters = [chr(ord("a") + k) for k in range(len(common))]
+        list_of = "." + "".join(f" {w}" for w in common) + " "
+        code_at = list(" " * len(list_of))
+        code_at[0], at = ".", 1
+        for w, c in zip(common, letters, strict=True):
+            code_at[at], at = c, at + len(w) + 1
+        codes = "".join(code_at)
+        coded = F.array_join(F.transform(words, partial(_letter, list_of, codes)), "")
+        out = out.when(lang == name, _let(coded, partial(_letter_counts, (*letters, "."))))
+    return out.otherwise(F.array().cast("array<double>"))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns), ``l`` and every count and histogram: one pass over the texts.
+
+    Steps are projections of their own, so that what a later one uses twice is computed once.
+    """
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    told = told.select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("l"))
+    kept, rest = ["row", "l", "t"], "t"
+    told = told.withColumn("s0", F.length("t"))
+    kept.append("s0")
+    for k, pattern in enumerate(_CLASSES, 1):  # each pattern is removed from what the one before left
+        told = told.select(*kept, F.regexp_replace(rest, pattern, "").alias("r"))
+        told = told.select(*kept, "r", F.length("r").alias(f"s{k}"))
+        kept.append(f"s{k}")
+        rest = "r"
+    sizes = [F.col(f"s{k}") for k in range(len(_CLASSES) + 1)]
+    chars = [(a - b).cast("double") for a, b in zip(sizes, [*sizes[1:], F.lit(0)], strict=True)]
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    letters = F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != "")
+    told = told.select("row", "l", F.col("s0").alias("n_code_points"), F.array(*chars).alias("hc"), F.split("t", _SPLIT).alias("ws"), lines.alias("lines"), letters.alias("lw"))
+    told = told.withColumn("ws", F.filter("ws", lambda w: w != ""))
+    told = told.select("row", "l", "n_code_points", "hc", F.size("ws").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _common_counts(F.col("lw"), F.col("l")).alias("hw"), F.transform("ws", lambda w: F.xxhash64(w)).alias("h"))
+    for step in (1, 2, 4):
+        told = told.withColumn("h", _doubled("h", step))
+    told = told.withColumn("h", F.when(F.size("h") >= 8, F.slice("h", F.lit(1), F.size("h") - 7)).otherwise(F.array().cast("array<bigint>")))
+    space, symbols = _CLASSES.index(r"[\x20\x09-\x0D]"), len(_CLASSES) - 1
+    told = told.select("row", "l", "n_code_points", "hc", "n_words", "n_dup_lines", "hw", _repeat_words(F.col("h")).alias("n_repeat_words"))
+    return told.withColumn("word_chars", (F.col("n_code_points") - F.get("hc", F.lit(space))).cast("long")).withColumn("n_symbols", F.get("hc", F.lit(symbols)).cast("long"))
 
 
 def _shares(counts: Column) -> Column:
@@ -97,35 +135,25 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((F.size(p) > 0) & (F.size(q) > 0), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
-def references(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def references(told: DataFrame) -> DataFrame:
     """``ref_lang, ref_chars, ref_words``: pooled shares over all documents of each language."""
-    h = docs.select(F.col(lang).alias("ref_lang"), *[x.alias(n) for n, x in zip(("c", "w"), _histograms(F.col(text), F.col(lang)), strict=True)])
     longest = max(map(len, COMMON.values())) + 1
-    sums = h.groupBy("ref_lang").agg(*[F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 1)], *[F.sum(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(longest)])
+    sums = told.groupBy(F.col("l").alias("ref_lang")).agg(*[F.sum(F.get("hc", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 1)], *[F.sum(F.get("hw", F.lit(k))).alias(f"w{k}") for k in range(longest)])
     words = F.filter(F.array(*[F.col(f"w{k}") for k in range(longest)]), lambda x: x.isNotNull())
     return sums.select("ref_lang", _shares(F.array(*[F.col(f"c{k}") for k in range(len(_CLASSES) + 1)])).alias("ref_chars"), _shares(words).alias("ref_words"))
 
 
 def judged(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> DataFrame:
-    """``docs`` as struct ``row`` with base counts, both distances and the verdict ``kept`` beside it."""
-    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if docs.columns else docs
-    told = told.select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("l"))
-    refs = shared.written(references(told, "t", "l"), "references")
+    """``docs`` as struct ``row`` with base counts, both distances and the verdict ``kept`` beside it.
+
+    Counts and histograms are written once; references are their sums, and verdicts need no text.
+    """
+    told = shared.written(features(docs), "features")
+    refs = shared.written(references(told), "references")
     if refs.count() <= 10_000:  # a few hundred bytes a language
         refs = F.broadcast(refs)
-    words = told.select("row", "t", "l", F.filter(F.split("t", _SPLIT), lambda w: w != "").alias("ws"))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    chars, common = _histograms(F.col("t"), F.col("l"))
-    counted = words.select(
-        "row", "l", F.size("ws").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", _SPLIT, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        _repeat_words(F.col("ws")).alias("n_repeat_words"),
-        F.length("t").alias("n_code_points"), _shares(chars).alias("hc"), _shares(common).alias("hw"),
-    )
-    held = counted.join(refs, F.col("l") == F.col("ref_lang"), "left")
-    held = held.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", js_distance(F.col("hc"), F.col("ref_chars")).alias("char_distance"), js_distance(F.col("hw"), F.col("ref_words")).alias("word_distance"))
+    held = told.join(refs, F.col("l") == F.col("ref_lang"), "left")
+    held = held.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", js_distance(_shares(F.col("hc")), F.col("ref_chars")).alias("char_distance"), js_distance(_shares(F.col("hw")), F.col("ref_words")).alias("word_distance"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     apart = ((F.col("n_code_points") >= least_chars) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars)) | ((F.col("n_words") >= least_words) & (F.coalesce("word_distance", F.lit(0.0)) > most_words))
     return held.withColumn("base_failed", failed).withColumn("kept", ~failed & ~apart)
@@ -137,7 +165,8 @@ def filtered(docs: DataFrame, **options) -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    out = judged(shared.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    told = shared.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = judged(told)
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 

@@ -8,9 +8,11 @@ below the window's weight. Points are dealt to the signature's components, which
 one. Two signatures agree in a component with exactly the probability of the weighted Jaccard index.
 
 Texts with equal words are one representative. Representatives that share a band are compared with
-the smallest id of that band's bucket; what a failed comparison leaves unlinked is compared inside
-the bucket too unless the triangle inequality of the Jaccard distance, or a component known already,
-rules it out. So copies aren't expanded to pairs. A link of similarity 0.8 shares no band with
+the smallest id of that band's bucket, those outside its component also with one pivot of them. What
+is still apart in a bucket is compared unless that can't be a link: similar texts lack few of each
+other's windows, so of a text's rarest quarter its partner has all but these. So two members of
+different classes have been compared or can't be similar, while a group of copies takes a few
+comparisons a member, not all its pairs. A link of similarity 0.8 shares no band with
 probability 6e-5 (24 bands of 5), of 0.85 with 1e-6; every link that shares one is found.
 
 Defined cases: null and empty texts (no word) have no similarity and are classes of their own; texts
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -168,6 +170,23 @@ def _verify(size: int):
     return stream
 
 
+def _elements(size: int):
+    """The windows of each text; the k-th occurrence of a window is an element of its own."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at in range(0, len(ids), 256):
+                texts = [t.as_py().encode() for t in batch.column(1)[at : at + 256]]
+                _, doc, h, w = bags(texts, size)
+                first = np.cumsum(w) - w
+                nth = np.arange(w.sum()) - np.repeat(first, w)
+                element = mix(np.repeat(h, w) + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256][doc], w)), pa.array(element.view(np.int64))], names=["rep", "element"])
+
+    return stream
+
+
 def near_dups(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """``doc_id, class_id``: one row a document; documents of one class are near or exact copies."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -180,31 +199,60 @@ def near_dups(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int
     buckets = entries.groupBy("band", "value").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     shared_bands = shared.written(entries.join(buckets, ["band", "value"]).select("rep", "band", "value", "least"), "buckets")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """``a, b, sim`` for distinct pairs; only texts of pairs are moved."""
-        one = texts.where("doc_id is not null").join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
-        one = shared.written(one.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-        both = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("at")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("bt")), "b")
+    # texts of representatives that share a band at all, moved once; the same join at every size
+    some = shared_bands.select(F.col("rep").alias("doc_id")).distinct()
+    pool = shared.written(texts.where("doc_id is not null").join(some.hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``a, b, sim`` for distinct pairs."""
+        both = pairs.join(pool.select(F.col("rep").alias("a"), F.col("text").alias("at")), "a").join(pool.select(F.col("rep").alias("b"), F.col("text").alias("bt")), "b")
         return shared.written(both.select("a", "b", "at", "bt").mapInArrow(_verify(size), "a long, b long, sim double"), "similar")
 
-    star = shared.written(shared_bands.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    stars = similar(star)
-    linked = stars.where(F.col("sim") >= threshold).select("a", "b")
-    roots = components(linked)
-    # what a failed comparison leaves: pairs of a bucket in different components that the distances to its least don't rule out
-    sims = shared_bands.join(stars.select(F.col("a").alias("least"), F.col("b").alias("rep"), "sim"), ["least", "rep"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
-    placed = sims.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rest = placed.where((F.col("sim") < threshold))
-    some = rest.select(F.col("rep").alias("x"), F.col("root").alias("rx"), "band", "value", F.col("sim").alias("sx"))
-    other = placed.where("rep <> least").select(F.col("rep").alias("y"), F.col("root").alias("ry"), "band", "value", F.col("sim").alias("sy"))
-    more = some.join(other, ["band", "value"]).where((F.col("rx") != F.col("ry")) & (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9))
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = shared.written(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        linked = linked.union(similar(more).where(F.col("sim") >= threshold).select("a", "b"))
+    def unordered(x: str, y: str) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def settled() -> tuple[DataFrame, DataFrame]:
+        """Entries with their component, and those outside the component of their bucket's least id."""
+        placed = shared_bands.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        main = roots.select(F.col("id").alias("least"), F.col("root").alias("main"))
+        return placed, placed.join(main, "least", "left").where("root <> coalesce(main, least)").drop("main")
+
+    def grown(now: DataFrame) -> DataFrame:
+        now = now.where(F.col("sim") >= threshold).select("a", "b")
+        return roots if now.isEmpty() else components(now.union(roots.where("id <> root").select("id", "root")))
+
+    # everyone against the least id of its buckets, then against one pivot outside that id's component
+    done = verified(shared_bands.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
+    roots = components(done.where(F.col("sim") >= threshold))
+    placed, left = settled()
+    pivots = left.groupBy("band", "value").agg(F.min_by(F.struct("rep", "root"), F.xxhash64("rep")).alias("p")).select("band", "value", F.col("p.rep").alias("p"), F.col("p.root").alias("p_root"))
+    judged = verified(placed.join(pivots, ["band", "value"]).where("root <> p_root").select(*unordered("rep", "p")).distinct().join(done, ["a", "b"], "left_anti"))
+    roots, done = grown(judged), done.union(judged)
+    # what is still apart: pairs of a bucket that their rarest windows don't rule out
+    placed, left = settled()
+    left = shared.written(left.select("rep", "band", "value"), "apart")
+    if not left.isEmpty():
+        mates = placed.join(left.select("band", "value").distinct(), ["band", "value"], "left_semi").select("rep", "root", "band", "value")
+        mates = shared.written(mates.join(left.withColumn("apart", F.lit(True)), ["rep", "band", "value"], "left"), "mates")
+        own = shared.written(pool.join(mates.select("rep").distinct(), "rep").mapInArrow(_elements(size), "rep long, element long"), "elements")
+        rare = own.join(own.groupBy("element").agg(F.count("*").alias("df")), "element")
+        mine = Window.partitionBy("rep")
+        rare = rare.select("rep", "df", F.col("element").bitwiseAND(0x7FFFFFFF).cast("int").alias("e"), F.row_number().over(mine.orderBy("df", "element")).alias("pos"), F.count("*").over(mine).alias("n"), F.count_if(F.col("df") > 1).over(mine).alias("common"))
+        # a partner lacks few windows of a text, so it has most of the first k; they are among its own first k + lacking
+        k, reach = F.ceil(F.col("n") / 4), F.ceil(F.col("n") / (4 * threshold) + (1 - threshold) * F.col("n")) + 1
+        heads = rare.where(F.col("pos") <= reach).groupBy("rep").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.collect_set(F.when(F.col("pos") <= k, F.col("e"))).alias("xs"), F.collect_set("e").alias("ys"))
+        mates = mates.join(heads, "rep")
+        x = mates.where("apart").select("band", "value", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "common", "xs")])
+        y = mates.select("band", "value", *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "common", "ys")])
+        most = F.least("x_common", "y_common")
+        need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+        rare_ones = F.size(F.array_intersect("x_xs", "y_ys")) >= F.size("x_xs") - (F.col("x_n") - need)
+        meet = x.join(y, ["band", "value"]).where((F.col("x_root") != F.col("y_root")) & (most >= need) & rare_ones)
+        roots = grown(verified(meet.select(*unordered("x_rep", "y_rep")).distinct().join(done, ["a", "b"], "left_anti")))
     # a repeated doc_id ties its representatives
     again = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    roots = components(linked.union(again))
+    if not again.isEmpty():
+        roots = components(again.union(roots.where("id <> root").select("id", "root")))
     classes = member.select("doc_id", "rep").distinct().join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
     every = sketch.select("doc_id", F.col("bands").isNotNull().alias("told"))
     return every.join(classes, "doc_id", "left").select("doc_id", F.when(F.col("told"), F.col("root")).otherwise(F.col("doc_id")).alias("class_id"))
@@ -212,12 +260,14 @@ def near_dups(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with the smallest ``doc_id`` of their class (and those without a ``doc_id``)."""
-    keep = near_dups(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.withColumn("__null", F.col("doc_id").isNull())
-    kept = named.where("not __null").join(keep, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    # rows that repeat a kept id and its text are copies too
-    kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(named.where("__null")).drop("__null")
+    keep = near_dups(docs, **options).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = shared.written(keep.select(F.col("doc_id").alias("kept_id"), "n"), "kept")
+    key = shared.free_name(docs, "kept_id")
+    keep = keep.withColumnRenamed("kept_id", key)
+    kept = docs.join(keep.select(key), docs["doc_id"].cast("long") == F.col(key), "left_semi")
+    if not keep.where("n > 1").isEmpty():  # rows that repeat a kept id are copies too
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that split a query, and where in time the context then lies.
-MARKERS = ((r"(?i)(?<![\p{L}\p{N}_])(?:ngay\s+)?sau\s+khi(?![\p{L}\p{N}_])", "before"), (r"(?i)(?<![\p{L}\p{N}_])(?:ngay\s+)?trư[ớo]c\s+khi(?![\p{L}\p{N}_])", "after"), (r"(?i)\bafter\b", "before"), (r"(?i)\bbefore\b", "after"))
+MARKERS = ((r"(?iu)(?<![\p{L}\p{N}_])(?:ngay\s+)?sau\s+khi(?![\p{L}\p{N}_])", "before"), (r"(?iu)(?<![\p{L}\p{N}_])(?:ngay\s+)?trư[ớo]c\s+khi(?![\p{L}\p{N}_])", "after"), (r"(?i)\bafter\b", "before"), (r"(?i)\bbefore\b", "after"))
 SEQUENCE_CUES = "bắt đầu|kết thúc|sau đó|tiếp theo|cuối cùng|lần lượt|trước khi|sau khi|chuyển sang|chuyển cảnh"
 EVENT = r"^\s*[Ee]\d{1,2}\s*(?:[:.)\-]\s*|\s+)"
 QUESTION = r"(?<![\p{L}\p{N}_])(?:Câu hỏi|Câu Hỏi|CÂU HỎI|Hỏi|HỎI)(?![\p{L}\p{N}_])\s*[:,]?\s*"

@@ -22,25 +22,30 @@ from . import shared
 
 _NAMES = ("source", "lang", "topic")
 
-# Topics and their patterns, the first that matches counts.
+# Topics and the phrases (lower case) that tell them; the first topic that occurs counts.
 TOPICS = (
-    ("legal", r"(?i)licen[cs]ed? under|released under the|general public license|copyright"),
-    ("table", r" \| "),
-    ("contact", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.|https?://|\d+\.\d+\.\d+\.\d+"),
+    ("legal", ("licensed under", "released under", "general public license", "copyright")),
+    ("table", (" | ",)),
+    ("contact", ("@", "http://", "https://")),
 )
 
 
-def topic_of(text: Column, topics=TOPICS) -> Column:
-    """The first topic whose pattern occurs in the whole text, else 'prose'."""
+def topic_of(low: Column, topics=TOPICS) -> Column:
+    """The first topic of which a phrase occurs in the whole lower-case text, else 'prose'."""
     out = F.lit("prose")
-    for name, pattern in reversed(topics):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, phrases in reversed(topics):
+        some = low.contains(phrases[0])
+        for p in phrases[1:]:
+            some = some | low.contains(p)
+        out = F.when(some, F.lit(name)).otherwise(out)
     return out
 
 
 def token_count(text: Column) -> Column:
-    """White-space tokens: the starts of runs outside ``\\x20\\x09-\\x0D``."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
+    """White-space tokens: runs outside ``\\x20\\x09-\\x0D``."""
+    edge = lambda c: c.rlike(r"^[\x20\x09-\x0D]$").cast("int")
+    pieces = F.size(F.split(text, r"[\x20\x09-\x0D]+")) - edge(F.left(text, F.lit(1))) - edge(F.right(text, F.lit(1)))
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(0).cast("long")
 
 
 def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 40) -> DataFrame:
@@ -70,7 +75,9 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, po
 def probabilities(docs: DataFrame, targets=None, power: float = 0.7, rounds: int = 40, topics=TOPICS) -> DataFrame:
     """Every row with ``m_source, m_lang, m_topic, n_tokens, probability, selected`` appended."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    told = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("m_source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("m_lang"), topic_of(text, topics).alias("m_topic"), token_count(text).alias("n_tokens"))
+    low = shared.free_name(docs, "low")
+    docs = docs.withColumn(low, F.lower(text))
+    told = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("m_source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("m_lang"), topic_of(F.col(low), topics).alias("m_topic"), token_count(text).alias("n_tokens")).drop(low)
     cells = told.groupBy(*[F.col(f"m_{n}").alias(n) for n in _NAMES]).agg(F.sum("n_tokens").alias("tokens"))
     cells = shared.written(cells, "cells")
     ratio = fit(cells, targets, power, rounds).withColumn("ratio", F.col("fitted") / F.col("tokens"))
@@ -98,7 +105,7 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql(power: float = 0.7, rounds: int = 40) -> str:
-    case = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in TOPICS)
+    case = " ".join(f"WHEN contains(lower(t), '{p}') THEN '{n}'" for n, ps in TOPICS for p in ps)
     steps = []
     last = "c0"
     for n in range(rounds):

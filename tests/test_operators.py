@@ -301,3 +301,38 @@ def test_provider_seams(spark):
     assert providers.difference_hash(img).first()["dhash"] == -1
     providers.register("x", _Lengths)
     assert "x" in providers.known()
+
+
+def test_engine_api(spark):
+    from momentra.api import Engine
+
+    e = Engine(spark, "/root/testdata/sf0.001")
+    assert e.health() == {"frames": 500, "videos": 25}
+    q = e.tables.queries(e.tables.vectors, 3)
+    first = {r["query_id"]: r["global_id"] for r in e.search(q).where("rank = 1").collect()}
+    assert set(first) == {0, 1, 2}
+    assert e.nearest(5, 4).where("global_id = 5").count() == 0 and e.nearest(5, 4).count() == 4
+    assert 0 < e.avs(q, 50).count() <= 150
+    events = e.tables.queries(e.tables.vectors, 2).select(F.lit(0).cast("long").alias("query_id"), F.col("query_id").cast("int").alias("event_idx"), "qv")
+    chains = e.trake(events, 2).collect()
+    assert all(r["frames"][0] < r["frames"][1] for r in chains) and chains
+
+
+def test_rebuild_map_finds_planted_frames(spark):
+    from momentra.operators import alignment
+
+    rng = random.Random(5)
+    stream = [("v", f, rng.getrandbits(62)) for f in range(40)]
+    keys = [("v", k, stream[f][2] ^ 1) for k, f in enumerate((4, 12, 13, 36))]
+    got = alignment.rebuild_map(frame(spark, keys, "video_id string, hash_no int, h long"), frame(spark, stream, "video_id string, frame_idx int, h long"), 4, around=3)
+    frames = [r["frame_idx"] for r in got.orderBy("hash_no").collect()]
+    assert frames[0] == 4 and frames[3] == 36 and frames == sorted(set(frames))
+
+
+def test_batch_plan_skips_finished(spark):
+    from momentra.operators import batch
+
+    pack = frame(spark, [("b-qa",), ("a-trake",), ("c",), ("d",)], "name string")
+    done = frame(spark, [("c", 5, 0), ("d", 5, 1)], "name string, n_rows int, n_issues int")
+    got = [(r["name"], r["sprint"]) for r in batch.plan(pack, done, F.lit(40)).orderBy("pos").collect()]
+    assert got == [("d", False), ("a-trake", True), ("b-qa", True)]

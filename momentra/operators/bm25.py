@@ -22,20 +22,36 @@ def statistics(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def score(posted: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, least: float = 1e-9) -> DataFrame:
+def asked(queries: DataFrame) -> DataFrame:
+    """A query's tokens with the times they occur in it."""
+    return queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+
+
+def score_postings(posted: DataFrame, df: DataFrame, totals: DataFrame, asked: DataFrame, candidates: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, least: float = 1e-9) -> DataFrame:
     """``query_id, key, score``: a key's best document; a query token counts as often as it occurs.
 
-    ``queries (query_id, text)``. Postings are reduced to query tokens (and candidate keys) before
-    anything else is joined; document frequencies come from the same reduced rows.
+    ``posted`` needs the query tokens' postings only; ``df`` and the one row of ``totals`` are those of
+    the whole corpus. With ``candidates (query_id, key)`` only those pairs are scored.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    _, totals = statistics(posted)
-    df = posted.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     hits = posted.join(asked, "token")
     if candidates is not None:
         hits = hits.join(candidates.select("query_id", "key").distinct(), ["query_id", "key"], "left_semi")
-    hits = hits.join(df, "token").join(F.broadcast(totals))  # one row
+    hits = hits.join(df, "token").join(F.broadcast(totals))
     idf = F.log((F.col("n_docs") + 1) / F.col("df"))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")) + F.col("tf"))
     each = hits.groupBy("query_id", "key", "doc_no").agg(F.sum(part).alias("score"))
     return each.groupBy("query_id", "key").agg(F.max("score").alias("score")).where(F.col("score") > least)
+
+
+def score(docs: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, **params) -> DataFrame:
+    """Scores of ``docs (key, doc_no, text)`` for a batch of ``queries (query_id, text)``.
+
+    Tokens that no query asks for are dropped before anything is shuffled; lengths need no shuffle.
+    """
+    tokens = asked(queries)
+    words = docs.select("key", "doc_no", tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    totals = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
+    each = words.select("key", "doc_no", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
+    posted = each.groupBy("key", "doc_no", "dl", "token").agg(F.count("*").alias("tf"))
+    df = posted.groupBy("token").agg(F.count("*").alias("df"))
+    return score_postings(posted, df, totals, tokens, candidates, **params)

@@ -33,7 +33,7 @@ def asr_interval_join(t):
 @query("candidate_semi_join", "SELECT b.query_id, b.key, round(b.score, 6) AS score FROM bm25 b JOIN top64 t ON t.query_id = b.query_id AND t.global_id = b.key")
 def candidate_semi_join(t):
     top = t.lane_top("visual").select("query_id", F.col("global_id").alias("key"))
-    return bm25.score(bm25.postings(t.text_docs), t.asked_texts, top).withColumn("score", F.round("score", 6))
+    return bm25.score(t.text_docs, t.asked_texts, top).withColumn("score", F.round("score", 6))
 
 
 @query("metadata_broadcast", "WITH v AS (SELECT video_id, avg(label) AS score FROM catalog GROUP BY video_id) SELECT global_id, round(score, 6) AS score FROM catalog JOIN v USING (video_id)")

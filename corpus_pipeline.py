@@ -25,10 +25,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start in an earlier document are cut; a document of which nothing is left goes."""
-    cut = substring_dedup.dedup(docs).where("n_words > n_removed").select("doc_id", "kept")
-    rest = docs.drop("text", "n_chars").join(cut, "doc_id")
-    rest = rest.select([F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
-    return rest.unionByName(docs.where("doc_id is null"))  # rows without an id pass
+    return substring_dedup.cut(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes every table this process has written there; results that are still read go with them."""
+    while _made:
+        drop_path(spark, _made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +50,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
+    """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more.
+
+    The scheduler keeps its last plan until another one runs.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

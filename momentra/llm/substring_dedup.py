@@ -13,13 +13,14 @@ passage that a third of all documents share costs one key a list.
 
 Defined cases: null text has no words; a text of fewer words than a window keeps all; rows with a null
 ``doc_id`` neither remove nor are removed from; rows with equal ``doc_id`` don't remove each other's
-words; an empty table gives no rows; further columns pass through ``dedup`` untouched.
+words; an empty table gives no rows; further columns pass through ``cut`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from . import shared
 from .hashing import Texts
 
-_CHUNK = 2 << 20
-_LIST = 4_000_000
+_CHUNK = 1 << 20
+_LIST = 1_000_000
+#: Chunk rows to a Python batch: some megabytes.
+_ROWS = 16
 
 
 def _squeeze(keys: np.ndarray, *others: np.ndarray) -> bytes:
@@ -55,22 +58,26 @@ def _expand(blob: bytes, others: int) -> list[np.ndarray]:
 
 def _chunk_rows(limit: int):
     """Groups a partition's rows (sorted by doc_id) into chunk rows; equal ids stay in one chunk."""
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ids, texts, held, part = 0, [], [], 0, 0
+        n, ids, texts, rest, held, part = 0, [], [], [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], schema=schema)
+            carried = pa.concat_arrays(rest)
+            lists = [pa.array([(part << 24) + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(carried)], pa.int32()), carried)]
+            return pa.RecordBatch.from_arrays(lists, names=["chunk", "ids", "texts", "rest"])
 
         for b in batches:
-            for part, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):  # noqa: B007
+            start = 0
+            for i, (part, doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):  # noqa: B007
                 if held >= limit and ids[-1] != doc:
+                    rest.append(b.column(3).slice(start, i - start))
                     yield out()
-                    n, ids, texts, held = n + 1, [], [], 0
+                    n, ids, texts, rest, held, start = n + 1, [], [], [], 0, i
                 ids.append(doc)
                 texts.append((text.as_py() or "").encode())
                 held += len(texts[-1]) + 16
+            rest.append(b.column(3).slice(start))
         if ids:
             yield out()
 
@@ -193,7 +200,7 @@ class FingerprintIndex:
             out["prefix"] = prefix
             return out.astype({"chunk": "Int64"})
 
-        n = max(1 << min(self.bits, 12), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        n = max(1 << min(self.bits, 16), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         merged = rows.repartition(n, "prefix").groupBy("prefix").applyInPandas(merge, "prefix int, chunk long, keys binary")
         path = self._path("matches")
         merged.withColumn("run", F.col("chunk").isNull()).write.partitionBy("run").parquet(path)
@@ -242,20 +249,19 @@ def _cover(texts: Texts, ids: list, matched: np.ndarray, size: int) -> np.ndarra
     return np.cumsum(gone[:-1]) > 0
 
 
-def _apply(size: int):
+def _apply(size: int, with_text: bool):
     """Digests and kept text of each document of a chunk row with its matched keys."""
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, raw, found in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            for ids, raw, carried, found in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 ids, raw, found = ids.as_py(), raw.as_py(), found.as_py() or []
                 matched = np.concatenate([_expand(x, 0)[0] for x in found]) if found else np.zeros(0, np.uint64)
                 t = Texts(raw)
                 gone = _cover(t, ids, matched, size)
                 edge = np.concatenate(([0], np.cumsum(t.count)))
-                out: list[list] = [[] for _ in names]
+                out: list[list] = [[] for _ in schema]
                 for d, doc in enumerate(ids):
                     a, z = edge[d], edge[d + 1]
                     keep = ~gone[a:z]
@@ -264,48 +270,84 @@ def _apply(size: int):
                         words = [w for w, k in zip(words, keep, strict=True) if k]
                     digest = hashlib.sha256(b" ".join(words)).hexdigest()
                     removed = int(z - a - keep.sum())
-                    text = raw[d]
-                    if removed:  # a kept word stays with the white space after it
+                    text = raw[d] if with_text else b""
+                    if removed and with_text:  # a kept word stays with the white space after it
                         s = t.start[a:z] - t.base[d]
                         stop = np.append(s[1:], len(text))
                         text = b"".join(text[i:j] for i, j, k in zip(s, stop, keep, strict=True) if k)
-                    for c, v in zip(out, (doc, int(z - a), removed, digest, text.decode()), strict=True):
+                    for c, v in zip(out, (doc, int(z - a), removed, digest, text.decode() if with_text else None), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=True)), carried.values], names=[*schema.names, "rest"])
 
     return rows
 
 
-def dedup(docs: DataFrame, size: int = 13, batches: int = 2, fan_in: int = 4, prefix_bits: int = 6, chunk_bytes: int = _CHUNK) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` for every row; ``kept`` is the text left.
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """A few chunk rows to a Python batch, not ten thousand, while the jobs inside run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    ``prefix_bits`` deals the keys to ``2 ** prefix_bits`` merges: about 32 MB of text a prefix is
-    right, so 6 suits a few gigabytes and 16 a few terabytes.
+
+def dedup(docs: DataFrame, size: int = 13, cuts: tuple = (0.25,), fan_in: int = 4, prefix_bits: int | None = None, chunk_bytes: int = _CHUNK, carry: tuple = (), with_text: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, kept, rest`` for every row.
+
+    ``kept`` is the text left (null without ``with_text``) and ``rest`` a struct of the ``carry``
+    columns, as ``c0``, ``c1``, ... ``cuts`` are the shares of the id ranges at which a batch ends; the
+    last batch needs no run, so a small first one keeps the runs (written once, merged once) small.
+    ``prefix_bits`` deals the keys to ``2 ** prefix_bits`` merges; by default a merge gets the keys of
+    about 4 MB of text (of more beyond a terabyte, so that lists keep enough keys a row).
     """
     spark = docs.sparkSession
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text").mapInArrow(_chunk_rows(chunk_bytes), "chunk long, ids array<long>, texts array<binary>")
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.struct(F.lit(0).alias("none"))
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    kind = ranged.schema["rest"].dataType.simpleString()
+    shape = f"chunk long, ids array<long>, texts array<binary>, rest array<{kind}>"
+    rows = ranged.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text", "rest").mapInArrow(_chunk_rows(chunk_bytes), shape)
     path = shared.new_path(spark, "chunks")
     rows.write.option("compression", "zstd").parquet(path)
     del ranged, rows
     shared.release(spark)
-    chunks = spark.read.schema("chunk long, ids array<long>, texts array<binary>").parquet(path)
+    chunks = spark.read.schema(shape).parquet(path)
+    if prefix_bits is None:
+        prefix_bits = min(18, max(6, (chunks.count() * chunk_bytes // (4 << 20)).bit_length()))
     index = FingerprintIndex(spark, prefix_bits, fan_in)
     found = []
-    for n in range(batches):
-        low, high = (parts * n // batches) << 24, (parts * (n + 1) // batches) << 24
-        found.append(index.add(chunks.where((F.col("chunk") >= low) & (F.col("chunk") < high)), size, keep_run=n + 1 < batches))
-        shared.release(spark)
-    index.drop(index.runs)
-    # at most one list a chunk, prefix and batch: a chunk's lists are bounded by its own windows
-    matches = reduce(DataFrame.unionByName, (index.read(p, False) for p in found)).groupBy("chunk").agg(F.collect_list("keys").alias("found"))
-    joined = chunks.join(matches, "chunk", "left").select("ids", "texts", "found")
-    return joined.mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    edges = [0, *(round(parts * c) for c in cuts), parts]
+    with _small_batches(spark):
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            batch = chunks.select("chunk", "ids", "texts").where((F.col("chunk") >= low << 24) & (F.col("chunk") < high << 24))
+            found.append(index.add(batch, size, keep_run=high < parts))
+            del batch
+            shared.release(spark)
+        index.drop(index.runs)
+        # at most one list a chunk, prefix and batch: a chunk's lists are bounded by its own windows
+        matches = reduce(DataFrame.unionByName, (index.read(p, False) for p in found)).groupBy("chunk").agg(F.collect_list("keys").alias("found"))
+        joined = chunks.join(matches, "chunk", "left").select("ids", "texts", "rest", "found")
+        out = shared.written(joined.mapInArrow(_apply(size, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rest {kind}"), "deduped")
+        del matches, joined
+    shared.drop_path(spark, path)
+    shared.drop_path(spark, index.root)
+    shared.release(spark)
+    return out
+
+
+def cut(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with what is left of each text, and its own other columns; emptied documents go."""
+    others = [c for c in docs.columns if c != "text"]
+    out = dedup(docs, carry=tuple(others), **options).where("n_words > n_removed or n_words = 0")
+    at = {c: f"rest.c{i}" for i, c in enumerate(others)}
+    return out.select([F.col("kept").alias("text") if c == "text" else F.col(at[c]).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(shared.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup(shared.table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP5_SQL = r"""

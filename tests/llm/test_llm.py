@@ -386,3 +386,7 @@ def test_shared_helpers(spark):
     df = frame(spark, [(1, "a")])
     assert shared.free_name(df, "TEXT") == "_TEXT" and shared.free_name(df, "x") == "x"
     assert shared.written(df, "t").collect() == df.collect()
+    lost = shared.written(df, "t")
+    shared.clear(spark)
+    with pytest.raises(Exception, match="(?i)not.*(exist|found)"):
+        lost.collect()

@@ -48,7 +48,7 @@ def token_count(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(0).cast("long")
 
 
-def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 40) -> DataFrame:
+def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 40) -> DataFrame:
     """Rakes ``cells (source, lang, topic, tokens)``: adds ``fitted``, whose marginals are the targets.
 
     A category's target share is ``targets[column][category]``, or else its share of tokens to the
@@ -72,7 +72,7 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, po
     return fitted
 
 
-def probabilities(docs: DataFrame, targets=None, power: float = 0.7, rounds: int = 40, topics=TOPICS) -> DataFrame:
+def probabilities(docs: DataFrame, targets=None, power: float = 0.9, rounds: int = 40, topics=TOPICS) -> DataFrame:
     """Every row with ``m_source, m_lang, m_topic, n_tokens, probability, selected`` appended."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = shared.free_name(docs, "low")
@@ -104,7 +104,7 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
-def _op4_sql(power: float = 0.7, rounds: int = 40) -> str:
+def _op4_sql(power: float = 0.9, rounds: int = 40) -> str:
     case = " ".join(f"WHEN contains(lower(t), '{p}') THEN '{n}'" for n, ps in TOPICS for p in ps)
     steps = []
     last = "c0"

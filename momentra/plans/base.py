@@ -15,7 +15,9 @@ def query(name: str, sql: str | None = None):
         def run(spark, sf_dir):
             from ..sources.tables import Tables
 
-            return f(Tables(spark, sf_dir))
+            out = f(Tables(spark, sf_dir))
+            # positions and counts are 64-bit in SQL
+            return out.withColumns({c: out[c].cast("bigint") for c, kind in out.dtypes if kind == "int"})
 
         run.__name__, run.__doc__ = name, f.__doc__
         assert name not in QUERIES, name
@@ -32,7 +34,7 @@ _TOKENS = r"list_filter(string_split(strip_accents(replace(regexp_replace(lower(
 
 #: Common tables by name; a query that names one gets it and what it names itself.
 CTES = {
-    "catalog": f"SELECT vec_id AS global_id, {_VIDEO.format(g='vec_id')} AS video_id, CAST(vec_id % 20 + 1 AS INTEGER) AS n, vec_id % 20 * 125 AS frame_idx, vec_id % 20 * 5.0::DOUBLE AS pts_time, 25.0::DOUBLE AS fps, vec_id % 7 <> 3 AS has_map, label FROM embeddings",
+    "catalog": f"SELECT vec_id AS global_id, {_VIDEO.format(g='vec_id')} AS video_id, vec_id % 20 + 1 AS n, vec_id % 20 * 125 AS frame_idx, vec_id % 20 * 5.0::DOUBLE AS pts_time, 25.0::DOUBLE AS fps, vec_id % 7 <> 3 AS has_map, label FROM embeddings",
     "vectors": "SELECT vec_id AS global_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
     "lane32": "SELECT global_id, list_transform(v[1:32], lambda x: x / sqrt(list_dot_product(v[1:32], v[1:32]))) AS v, label FROM vectors",
     "s64": "SELECT q.global_id AS query_id, c.global_id, list_dot_product(q.v, c.v) AS score FROM vectors c JOIN vectors q ON q.global_id < 8",
@@ -45,7 +47,7 @@ CTES = {
     "fusedv": f"SELECT *, {_VIDEO.format(g='global_id')} AS video_id FROM fused",
     "run_a": "SELECT query_id, rank, c.video_id, c.frame_idx, 'Label ' || c.label || CASE WHEN rank % 3 = 0 THEN '.' ELSE '' END AS answer, score FROM top64 JOIN catalog c USING (global_id)",
     "run_b": "SELECT query_id, rank, c.video_id, c.frame_idx, 'Label ' || c.label || CASE WHEN rank % 3 = 0 THEN '.' ELSE '' END AS answer, score FROM top32 JOIN catalog c USING (global_id)",
-    "gt": "SELECT global_id % 50 AS query_id, CAST(global_id // 50 AS INTEGER) AS event_idx, video_id, frame_idx - 60 AS lo, frame_idx + 60 AS hi, ['label ' || label] AS answers FROM catalog WHERE global_id % 50 < 8",
+    "gt": "SELECT global_id % 50 AS query_id, global_id // 50 AS event_idx, video_id, frame_idx - 60 AS lo, frame_idx + 60 AS hi, ['label ' || label] AS answers FROM catalog WHERE global_id % 50 < 8",
     "tracks": "SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS hours, event_id AS global_id, event_type, value FROM events",
     "detections": "SELECT l_orderkey AS frame, l_returnflag AS entity, 1 - l_discount AS score, l_tax * 10 AS x FROM lineitem",
     "segments": "SELECT conv_id AS video_id, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + 8 AS stop, text, turn FROM conversations",

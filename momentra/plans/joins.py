@@ -54,7 +54,7 @@ def self_similarity_join(t):
     return a.join(b, "query_id").where("a <> b").select("query_id", "a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim"))
 
 
-@query("neighbor_offset_join", "SELECT t.query_id, t.global_id, o.d, c.global_id AS neighbor FROM top64 t, (VALUES (-2), (-1), (1), (2)) AS o(d) JOIN catalog a ON a.global_id = t.global_id JOIN catalog c ON c.global_id = t.global_id + o.d AND c.video_id = a.video_id")
+@query("neighbor_offset_join", "SELECT t.query_id, t.global_id, o.d, c.global_id AS neighbor FROM top64 t, (VALUES (-2::BIGINT), (-1), (1), (2)) AS o(d) JOIN catalog a ON a.global_id = t.global_id JOIN catalog c ON c.global_id = t.global_id + o.d AND c.video_id = a.video_id")
 def neighbor_offset_join(t):
     top = t.with_video(t.lane_top("visual")).select("query_id", "global_id", "video_id", F.explode(F.array(*map(F.lit, (-2, -1, 1, 2)))).alias("d")).withColumn("neighbor", F.col("global_id") + F.col("d"))
     inside = t.catalog.select(F.col("global_id").alias("neighbor"), "video_id")
@@ -109,7 +109,7 @@ def run_diff_full_outer(t):
     return evaluate.top1_diff(t.run("a").where("query_id <> 1"), t.run("b").where("query_id <> 5"))
 
 
-@query("hamming_join", "WITH h AS (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog WHERE global_id < 120) SELECT a.global_id AS a, b.global_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.global_id < 40")
+@query("hamming_join", "WITH h AS (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog WHERE global_id < 120) SELECT a.global_id AS a, b.global_id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM h a JOIN h b ON a.global_id < 40")
 def hamming_join(t):
     h = t.catalog.where("global_id < 120").select("global_id", F.conv(F.substring(F.md5(F.col("global_id").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
     frames = F.broadcast(h.where("global_id < 40").select(F.col("global_id").alias("a"), F.col("h").alias("ha")))  # frames of one video against its stream

@@ -102,7 +102,7 @@ def except_missing(t):
     return t.ground_truth.select("query_id", "video_id").subtract(t.run("a").select("query_id", "video_id"))
 
 
-@query("multi_channel_union", "SELECT source, count(*) AS n, sum(dim) AS dims FROM (SELECT 'corpus' AS source, len(v) AS dim FROM vectors UNION ALL SELECT 'public', len(v) FROM lane32) GROUP BY source")
+@query("multi_channel_union", "SELECT source, count(*) AS n, CAST(sum(dim) AS BIGINT) AS dims FROM (SELECT 'corpus' AS source, len(v) AS dim FROM vectors UNION ALL SELECT 'public', len(v) FROM lane32) GROUP BY source")
 def multi_channel_union(t):
     corpus = t.vectors.select(F.lit("corpus").alias("source"), "v", "label")
     public = t.lane32.select(F.lit("public").alias("source"), "v")

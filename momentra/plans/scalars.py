@@ -128,7 +128,7 @@ def parse_objects(t):
 @query("parse_trake_events", """
 WITH e AS (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN 'Header' ELSE 'E' || turn || ': scene ' || turn END AS line FROM conversations WHERE conv_id < 40),
 k AS (SELECT *, regexp_matches(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]|\\s)') AS marked, count(*) FILTER (regexp_matches(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]|\\s)')) OVER (PARTITION BY conv_id) AS n FROM e)
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS event_idx, CASE WHEN marked THEN regexp_replace(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]\\s*|\\s+)', '') ELSE line END AS event FROM k WHERE marked OR n < 2""".replace("\\\\", "\\"))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS event_idx, CASE WHEN marked THEN regexp_replace(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]\\s*|\\s+)', '') ELSE line END AS event FROM k WHERE marked OR n < 2""".replace("\\\\", "\\"))
 def parse_trake_events(t):
     c = t.raw("conversations").where("conv_id < 40")
     line = F.when((F.col("turn") == 0) & (F.col("conv_id") % 2 == 0), "Header").otherwise(F.concat(F.lit("E"), "turn", F.lit(": scene "), "turn"))
@@ -214,7 +214,7 @@ def dhash_near_dup(t):
     return a.join(b, "s").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= 5)).select("a", "b").distinct()
 
 
-@query("parse_llm_json", "SELECT global_id, round(least(greatest(x, 0), 10), 6) AS first, 3 AS n FROM (SELECT global_id, global_id / 20.0 - 3 AS x FROM catalog WHERE global_id % 5 <> 0)")
+@query("parse_llm_json", "SELECT global_id, round(least(greatest(x, 0), 10), 6) AS first, 3::BIGINT AS n FROM (SELECT global_id, global_id / 20.0 - 3 AS x FROM catalog WHERE global_id % 5 <> 0)")
 def parse_llm_json(t):
     x = F.col("global_id") / 20.0 - 3
     said = F.when(F.col("global_id") % 5 == 0, "no scores").otherwise(F.concat(F.lit("```json\n["), x, F.lit(", 5, 11]\n```")))

@@ -33,7 +33,7 @@ def scan_map_csv(t):
 
 @query("scan_media_info", r"""
 SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) END AS title,
-  CASE WHEN page_id % 11 = 0 THEN '' ELSE url END AS watch_url, CASE WHEN page_id % 11 = 0 THEN 0 ELSE 2 END AS n_keywords FROM pages""")
+  CASE WHEN page_id % 11 = 0 THEN '' ELSE url END AS watch_url, CAST(CASE WHEN page_id % 11 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_keywords FROM pages""")
 def scan_media_info(t):
     p = t.raw("pages").withColumn("title", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
     keywords = F.when(F.col("page_id") % 2 == 0, "['a', 'b']").otherwise("a, b")
@@ -119,7 +119,7 @@ def scan_jsonl_log(t):
 
 
 @query("load_ground_truth", """
-SELECT query_id, event_idx AS entry, CASE event_idx % 4 WHEN 3 THEN 'trake' WHEN 1 THEN 'qa' ELSE 'kis' END AS task, video_id, 0 AS event_idx, lo, hi, CASE WHEN event_idx % 4 = 1 THEN answers[1] ELSE '' END AS answer FROM gt""")
+SELECT query_id, event_idx AS entry, CASE event_idx % 4 WHEN 3 THEN 'trake' WHEN 1 THEN 'qa' ELSE 'kis' END AS task, video_id, 0::BIGINT AS event_idx, lo, hi, CASE WHEN event_idx % 4 = 1 THEN answers[1] ELSE '' END AS answer FROM gt""")
 def load_ground_truth(t):
     g = t.ground_truth
     mid = (F.col("lo") + F.col("hi")) / 2
@@ -182,7 +182,7 @@ def validate_submission(t):
     return rows.issues(marked.withColumn("answer", F.lit("x")))
 
 
-@query("persist_text_index", "SELECT token, count(*) AS df, sum(tf) AS total FROM post GROUP BY token")
+@query("persist_text_index", "SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM post GROUP BY token")
 def persist_text_index(t):
     return bm25.postings(t.text_docs).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 

@@ -99,7 +99,7 @@ _INSIDE = "inside AS (SELECT a.query_id, a.video_id, a.frame_idx, a.rank % 3 AS
 WITH {_INSIDE}, c0 AS (SELECT query_id, video_id, frame_idx, e, 1 AS best FROM inside),
 two AS (SELECT a.query_id, a.video_id, b.frame_idx, b.e, 2 AS best FROM c0 a JOIN c0 b ON a.query_id = b.query_id AND a.video_id = b.video_id AND a.frame_idx < b.frame_idx AND a.e < b.e),
 three AS (SELECT a.query_id, a.video_id, 3 AS best FROM two a JOIN c0 b ON a.query_id = b.query_id AND a.video_id = b.video_id AND a.frame_idx < b.frame_idx AND a.e < b.e)
-SELECT query_id, video_id, max(best) AS ceiling FROM (SELECT query_id, video_id, best FROM c0 UNION ALL SELECT query_id, video_id, best FROM two UNION ALL SELECT query_id, video_id, best FROM three) GROUP BY ALL""")
+SELECT query_id, video_id, CAST(max(best) AS BIGINT) AS ceiling FROM (SELECT query_id, video_id, best FROM c0 UNION ALL SELECT query_id, video_id, best FROM two UNION ALL SELECT query_id, video_id, best FROM three) GROUP BY ALL""")
 def grid_ceiling(t):
     inside = t.run("a").select("query_id", "video_id", "frame_idx", (F.col("rank") % 3).alias("event_idx"))
     return sequence.grid_ceiling(inside, 3)

@@ -81,7 +81,7 @@ def dense_scores(t):
     return rounded(fusion.weighted_sum(a.unionByName(b), {"a": 0.6, "b": 0.4}))
 
 
-@query("search_image", "SELECT 0 AS query_id, global_id, round(score, 6) AS score FROM (SELECT global_id, list_dot_product(v, q) AS score, row_number() OVER (ORDER BY list_dot_product(v, q) DESC, global_id) AS r FROM vectors, (SELECT v AS q FROM vectors WHERE global_id = 77)) WHERE r <= 30")
+@query("search_image", "SELECT 0::BIGINT AS query_id, global_id, round(score, 6) AS score FROM (SELECT global_id, list_dot_product(v, q) AS score, row_number() OVER (ORDER BY list_dot_product(v, q) DESC, global_id) AS r FROM vectors, (SELECT v AS q FROM vectors WHERE global_id = 77)) WHERE r <= 30")
 def search_image(t):
     image = t.vectors.where("global_id = 77").select(F.lit(0).alias("query_id"), F.col("v").alias("qv"))
     s = t.vectors.join(F.broadcast(image)).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))

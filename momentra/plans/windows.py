@@ -116,7 +116,7 @@ def expand_jitter(t):
     return out.withColumn("frames", F.array_join("frames", ","))
 
 
-_VAR = "variants AS (SELECT video_id, frame_idx, j, v FROM (SELECT video_id, frame_idx, unnest([(p + frame_idx) // 2, (frame_idx + x) // 2, p, x]) AS v, unnest([0, 1, 2, 3]) AS j FROM (SELECT video_id, frame_idx, lag(frame_idx) OVER w AS p, lead(frame_idx) OVER w AS x FROM catalog WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx))) WHERE v IS NOT NULL AND v <> frame_idx)"
+_VAR = "variants AS (SELECT video_id, frame_idx, j, v FROM (SELECT video_id, frame_idx, unnest([(p + frame_idx) // 2, (frame_idx + x) // 2, p, x]) AS v, unnest([0::BIGINT, 1, 2, 3]) AS j FROM (SELECT video_id, frame_idx, lag(frame_idx) OVER w AS p, lead(frame_idx) OVER w AS x FROM catalog WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx))) WHERE v IS NOT NULL AND v <> frame_idx)"
 
 
 @query("variant_frames", f"WITH {_VAR} SELECT video_id, frame_idx, j, v AS variant_frame FROM variants")

@@ -193,7 +193,8 @@ def near_dups(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int
     sketch = shared.written(texts.mapInArrow(_sketch(size, bands, rows), "doc_id long, k1 long, k2 long, bands array<long>"), "sketch")
     told = sketch.where("bands is not null and doc_id is not null")
     # one representative for each word sequence
-    reps = told.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # (written, so that a hot group's side of the join is an exchange of its own that Spark can split)
+    reps = shared.written(told.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     member = shared.written(told.join(reps, ["k1", "k2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
     entries = member.where("bands is not null").select("rep", F.posexplode("bands").alias("band", "value")).distinct()
     buckets = entries.groupBy("band", "value").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")

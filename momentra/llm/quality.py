@@ -117,7 +117,8 @@ def features(docs: DataFrame) -> DataFrame:
         told = told.withColumn("h", _doubled("h", step))
     told = told.withColumn("h", F.when(F.size("h") >= 8, F.slice("h", F.lit(1), F.size("h") - 7)).otherwise(F.array().cast("array<bigint>")))
     space, symbols = _CLASSES.index(r"[\x20\x09-\x0D]"), len(_CLASSES) - 1
-    told = told.select("row", "l", "n_code_points", "hc", "n_words", "n_dup_lines", "hw", _repeat_words(F.col("h")).alias("n_repeat_words"))
+    # (an id that is not deterministic keeps filters above this projection: below it they would repeat all of it)
+    told = told.select("row", "l", "n_code_points", "hc", "n_words", "n_dup_lines", "hw", _repeat_words(F.col("h")).alias("n_repeat_words"), F.monotonically_increasing_id().alias("fence"))
     return told.withColumn("word_chars", (F.col("n_code_points") - F.get("hc", F.lit(space))).cast("long")).withColumn("n_symbols", F.get("hc", F.lit(symbols)).cast("long"))
 
 
@@ -143,25 +144,31 @@ def references(told: DataFrame) -> DataFrame:
     return sums.select("ref_lang", _shares(F.array(*[F.col(f"c{k}") for k in range(len(_CLASSES) + 1)])).alias("ref_chars"), _shares(words).alias("ref_words"))
 
 
-def judged(docs: DataFrame, most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> DataFrame:
-    """``docs`` as struct ``row`` with base counts, both distances and the verdict ``kept`` beside it.
-
-    Counts and histograms are written once; references are their sums, and verdicts need no text.
-    """
-    told = shared.written(features(docs), "features")
-    refs = shared.written(references(told), "references")
+def _verdicts(told: DataFrame, refs: DataFrame, most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> DataFrame:
     if refs.count() <= 10_000:  # a few hundred bytes a language
         refs = F.broadcast(refs)
     held = told.join(refs, F.col("l") == F.col("ref_lang"), "left")
-    held = held.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", js_distance(_shares(F.col("hc")), F.col("ref_chars")).alias("char_distance"), js_distance(_shares(F.col("hw")), F.col("ref_words")).alias("word_distance"))
+    held = held.select("row", "fence", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", js_distance(_shares(F.col("hc")), F.col("ref_chars")).alias("char_distance"), js_distance(_shares(F.col("hw")), F.col("ref_words")).alias("word_distance"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     apart = ((F.col("n_code_points") >= least_chars) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars)) | ((F.col("n_words") >= least_words) & (F.coalesce("word_distance", F.lit(0.0)) > most_words))
     return held.withColumn("base_failed", failed).withColumn("kept", ~failed & ~apart)
 
 
-def filtered(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(docs, **options).where("kept").select("row.*")
+def judged(docs: DataFrame, **thresholds) -> DataFrame:
+    """``docs`` as struct ``row`` with base counts, both distances and the verdict ``kept`` beside it.
+
+    Counts and histograms are written once (with the columns of ``docs``); references are their sums,
+    and verdicts need no text. Thresholds: ``most_chars, most_words, least_chars, least_words``.
+    """
+    told = shared.written(features(docs), "features")
+    return _verdicts(told, shared.written(references(told), "references"), **thresholds)
+
+
+def filtered(docs: DataFrame, **thresholds) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns; no text is written in between."""
+    told = features(docs.select("text", "lang"))  # only the histograms of it are computed
+    refs = shared.written(references(told), "references")
+    return _verdicts(features(docs), refs, **thresholds).where("kept and fence >= 0").select("row.*")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -111,6 +111,6 @@ def run_diff_full_outer(t):
 
 @query("hamming_join", "WITH h AS (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog WHERE global_id < 120) SELECT a.global_id AS a, b.global_id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM h a JOIN h b ON a.global_id < 40")
 def hamming_join(t):
-    h = t.catalog.where("global_id < 120").select("global_id", F.conv(F.substring(F.md5(F.col("global_id").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
-    frames = F.broadcast(h.where("global_id < 40").select(F.col("global_id").alias("a"), F.col("h").alias("ha")))  # frames of one video against its stream
+    h = t.catalog.select("global_id", F.conv(F.substring(F.md5(F.col("global_id").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
+    frames = h.select(F.col("global_id").alias("a"), F.col("h").alias("ha"))  # the matrix of all pairs
     return frames.join(h.select(F.col("global_id").alias("b"), "h")).select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("h"))).alias("distance"))

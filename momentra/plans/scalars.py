@@ -130,7 +130,7 @@ WITH e AS (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN 'He
 k AS (SELECT *, regexp_matches(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]|\\s)') AS marked, count(*) FILTER (regexp_matches(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]|\\s)')) OVER (PARTITION BY conv_id) AS n FROM e)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS event_idx, CASE WHEN marked THEN regexp_replace(line, '^\\s*[Ee][0-9]{1,2}\\s*([:.)-]\\s*|\\s+)', '') ELSE line END AS event FROM k WHERE marked OR n < 2""".replace("\\\\", "\\"))
 def parse_trake_events(t):
-    c = t.raw("conversations").where("conv_id < 40")
+    c = t.raw("conversations")
     line = F.when((F.col("turn") == 0) & (F.col("conv_id") % 2 == 0), "Header").otherwise(F.concat(F.lit("E"), "turn", F.lit(": scene "), "turn"))
     return parsing.trake_events(c.select(F.col("conv_id"), F.col("turn").alias("line_no"), line.alias("line")), ["conv_id"])
 
@@ -206,12 +206,17 @@ def mrl_truncate(t):
 
 @query("dhash_near_dup", "SELECT a.global_id AS a, b.global_id AS b FROM (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id % 40 AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog WHERE global_id < 200) a JOIN (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id % 40 AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog WHERE global_id < 200) b ON a.global_id < b.global_id AND bit_count(xor(a.h, b.h)) <= 5")
 def dhash_near_dup(t):
-    """Hashes within 5 bits agree in one of six slices at least: an equi-join on slices, then the exact distance."""
-    h = t.catalog.where("global_id < 200").select("global_id", F.conv(F.substring(F.md5((F.col("global_id") % 40).cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
+    """Hashes within 5 bits agree in one of six slices at least: an equi-join on slices, then the exact distance.
+
+    Distances are taken between distinct hashes; frames with them join afterwards, so copies cost only the pairs they are.
+    """
+    h = t.catalog.select("global_id", F.conv(F.substring(F.md5((F.col("global_id") % 40).cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
     parts = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("h", 10 * k).bitwiseAND(1023).alias("p")) for k in range(6)])
-    each = h.select("global_id", "h", F.explode(parts).alias("s"))
-    a, b = each.select(F.col("global_id").alias("a"), F.col("h").alias("ha"), "s"), each.select(F.col("global_id").alias("b"), F.col("h").alias("hb"), "s")
-    return a.join(b, "s").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= 5)).select("a", "b").distinct()
+    each = h.select("h").distinct().select("h", F.explode(parts).alias("s"))
+    near = each.select(F.col("h").alias("ha"), "s").join(each.select(F.col("h").alias("hb"), "s"), "s")
+    near = near.where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= 5).select("ha", "hb").distinct()
+    a, b = h.select(F.col("global_id").alias("a"), F.col("h").alias("ha")), h.select(F.col("global_id").alias("b"), F.col("h").alias("hb"))
+    return near.join(a, "ha").join(b, "hb").where("a < b").select("a", "b")
 
 
 @query("parse_llm_json", "SELECT global_id, round(least(greatest(x, 0), 10), 6) AS first, 3::BIGINT AS n FROM (SELECT global_id, global_id / 20.0 - 3 AS x FROM catalog WHERE global_id % 5 <> 0)")
@@ -233,7 +238,7 @@ _ERRORS = ("503 UNAVAILABLE", "504 deadline exceeded", "429 quota", "request tim
 @query("classify_error", f"SELECT event_id, ['503', '504', '429', 'timeout', '4xx', 'other'][event_id % 6 + 1] AS kind FROM events WHERE event_id < 600")
 def classify_error(t):
     said = F.get(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 6).cast("int"))
-    return t.raw("events").where("event_id < 600").select("event_id", text.classify_error(said).alias("kind"))
+    return t.raw("events").select("event_id", text.classify_error(said).alias("kind"))
 
 
 @query("pick_shot_frames", "SELECT DISTINCT global_id, CAST(frame_idx + round_even(49 * p, 0) AS BIGINT) AS frame FROM catalog, (VALUES (0.15::DOUBLE), (0.5::DOUBLE), (0.85::DOUBLE)) AS v(p)")

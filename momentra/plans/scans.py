@@ -46,7 +46,7 @@ def scan_media_info(t):
 SELECT l_orderkey AS frame, l_returnflag AS entity, round(CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 - l_discount END, 6) AS score, round(l_tax * 10, 6) AS x
 FROM lineitem WHERE l_orderkey < 2000""")
 def scan_detections(t):
-    lines = t.raw("lineitem").where("l_orderkey < 2000")
+    lines = t.raw("lineitem")
     score = F.when(F.col("l_linenumber") == 1, F.lit(None)).otherwise((1 - F.col("l_discount")).cast("string"))
     each = F.struct("l_linenumber", F.col("l_returnflag").alias("e"), score.alias("s"), F.array(F.lit("0"), (F.col("l_tax") * 10).cast("string"), F.lit("1"), F.lit("1")).alias("b"))
     json = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("d"))

@@ -69,8 +69,8 @@ def reranker_provider_api(t):
     """Pairs through the reranking seam, with token overlap as provider."""
     from ..sources import local_models, providers
 
-    b = t.raw("benchmark").where("item_id < 20")
-    pairs = F.broadcast(b.where("item_id < 4").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))).join(b)
+    b = t.raw("benchmark")
+    pairs = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")).join(b)
     return providers.rerank_scores(pairs, local_models.OverlapReranker, "q", "text").select("query_id", "item_id", F.round("cross", 6).alias("score"))
 
 
@@ -89,7 +89,7 @@ def rebuild_map(t):
     from ..operators import alignment
 
     h = F.conv(F.substring(F.md5(F.concat_ws(":", "video_id", "frame_idx")), 1, 15), 16, 10).cast("long").alias("h")
-    frames = t.catalog.where("global_id < 200").select("video_id", "n").select("video_id", F.explode(F.sequence((F.col("n") - 1) * 5, F.col("n") * 5 - 1)).alias("frame_idx"))
+    frames = t.catalog.select("video_id", F.explode(F.sequence((F.col("n") - 1) * 5, F.col("n") * 5 - 1)).alias("frame_idx"))
     stream = frames.select("video_id", "frame_idx", h)
     keys = stream.where("frame_idx % 20 = 8").select("video_id", F.floor(F.col("frame_idx") / 20).cast("int").alias("hash_no"), "h")
     return alignment.rebuild_map(keys, stream, 5)

@@ -27,10 +27,9 @@ def fuse_signals_min(t):
 
 @query("cosine_sim", "SELECT q.global_id AS a, c.global_id AS b, round(list_cosine_similarity(q.v, c.v), 6) AS sim FROM vectors q JOIN vectors c ON q.global_id < 4 AND c.global_id BETWEEN 100 AND 150")
 def cosine_sim(t):
-    v = t.vectors
-    a = v.where("global_id < 4").select(F.col("global_id").alias("a"), F.col("v").alias("va"))
-    b = v.where("global_id between 100 and 150").select(F.col("global_id").alias("b"), F.col("v").alias("vb"))
-    return F.broadcast(a).join(b).select("a", "b", F.round(dot(F.col("va"), F.col("vb")) / (norm(F.col("va")) * norm(F.col("vb"))), 6).alias("sim"))
+    v = t.vectors.select("global_id", "v", norm(F.col("v")).alias("n"))
+    a, b = v.select(F.col("global_id").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), v.select(F.col("global_id").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
+    return a.join(b).select("a", "b", F.round(dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")), 6).alias("sim"))
 
 
 def _mean(v: str) -> str:
@@ -161,10 +160,10 @@ WITH p AS (SELECT a.global_id AS i, b.global_id AS j, list_dot_product(a.v, list
 w AS (SELECT *, ln(sum(exp(10 * s)) OVER (PARTITION BY i)) - 10 * s AS lr, ln(sum(exp(10 * s)) OVER (PARTITION BY j)) - 10 * s AS lc FROM p)
 SELECT round(sum(ln(1 + exp(-CASE WHEN i = j THEN 1 ELSE -1 END * (10 * s - 5)))) / 32, 6) AS sigmoid, round(sum((lr + lc) / 2) FILTER (i = j) / 32, 6) AS contrastive, round(sum(1 - s) FILTER (i = j) / 32, 6) AS distill FROM w""")
 def pairwise_losses(t):
-    v = t.vectors.where("global_id < 32")  # one batch
+    v = t.vectors  # all rows are one batch
     a = v.select(F.col("global_id").alias("i"), F.col("v").alias("a"))
     b = v.select(F.col("global_id").alias("j"), F.transform("v", lambda x: x + 0.1).alias("b"))
-    return rounded(rerank.pairwise_losses(F.broadcast(a).join(b)), "sigmoid", "contrastive", "distill")
+    return rounded(rerank.pairwise_losses(a.join(b)), "sigmoid", "contrastive", "distill")
 
 
 @query("wiseft_interpolate", "SELECT global_id, round(0.7 * v[1] + 0.3 * v[2], 6) AS first, round(0.7 * v[64] + 0.3 * v[1], 6) AS last FROM vectors")

@@ -84,9 +84,9 @@ WITH near AS (SELECT a.global_id, c.n, left(d.text, 30) AS s FROM catalog a JOIN
 firsts AS (SELECT global_id, s, min(n) AS n FROM near GROUP BY global_id, s)
 SELECT global_id, left(string_agg(s, ' | ' ORDER BY n, s), 600) AS context FROM firsts GROUP BY global_id""")
 def ocr_context(t):
-    docs = t.raw("documents").select(F.col("doc_id").alias("global_id"), F.left("text", F.lit(30)).alias("s"))
-    texts = t.catalog.select("global_id", "video_id", "n").join(docs, "global_id").select("video_id", "n", "s", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("center"))
-    firsts = texts.groupBy("video_id", "center", "s").agg(F.min("n").alias("n"))
+    docs = t.raw("documents").select(F.col("doc_id").alias("global_id"), F.left("text", F.lit(600)).alias("s"), F.sha2("text", 256).alias("whole"))  # the context ends at 600 characters; repeats are told by whole texts
+    texts = t.catalog.select("global_id", "video_id", "n").join(docs, "global_id").select("video_id", "n", "s", "whole", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("center"))
+    firsts = texts.groupBy("video_id", "center", "whole").agg(F.min("n").alias("n"), F.first("s").alias("s"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda r: r["s"]), " | ")  # five frames
     body = firsts.groupBy("video_id", "center").agg(F.left(joined, F.lit(600)).alias("context"))
     return t.catalog.select("global_id", "video_id", F.col("n").alias("center")).join(body, ["video_id", "center"]).select("global_id", "context")

@@ -36,7 +36,7 @@ _ANSWER = r"regexp_replace(trim(regexp_replace(replace(lower({a}), 'ß', 'ss'),
 
 @query("normalize_answer", f"SELECT doc_id, {_ANSWER.format(a='left(text, 60)')} AS answer FROM documents")
 def normalize_answer(t):
-    return _docs(t).select("doc_id", text.normalize_answer(F.left("text", F.lit(60))).alias("answer"))  # an answer's length
+    return _docs(t).select("doc_id", text.normalize_answer(F.col("text")).alias("answer"))
 
 
 #: Answers in many forms, made from ids: the functions below need text that no table holds.

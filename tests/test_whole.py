@@ -85,3 +85,21 @@ def test_losses_of_all_rows(spark, embeddings):
     want = [np.log1p(np.exp(-np.where(np.eye(n) > 0, 1, -1) * (10 * s - 5))).sum() / n, ((np.log(e.sum(1)) + np.log(e.sum(0))) / 2 - 10 * own).mean(), (1 - own).mean()]
     got = QUERIES["pairwise_losses"](spark, FOLDER).first()
     assert [got["sigmoid"], got["contrastive"], got["distill"]] == pytest.approx(want, abs=2e-6)
+
+
+def test_normalize_answer_takes_whole_texts(spark):
+    from momentra.functions import text
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    want = spark.createDataFrame([*docs.items()], "doc_id long, text string").select("doc_id", text.normalize_answer(F.col("text")).alias("answer"))
+    got = {r["doc_id"]: r["answer"] for r in QUERIES["normalize_answer"](spark, FOLDER).collect()}
+    assert got == {r["doc_id"]: r["answer"] for r in want.collect()} and max(map(len, got.values())) > 1000
+
+
+def test_ocr_context_joins_whole_texts(spark, tmp_path):
+    long = "x" * 40
+    texts = [long + " one", long + " two", "short", long + " one", "y" * 700]  # equal in their first 30 characters, one repeat
+    spark.createDataFrame([(i, [1.0], 0) for i in range(5)], "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: " | ".join(dict.fromkeys(texts[max(0, i - 2) : i + 3]))[:600] for i in range(5)}
+    assert {r["global_id"]: r["context"] for r in QUERIES["ocr_context"](spark, str(tmp_path)).collect()} == want

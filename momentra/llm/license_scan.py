@@ -1,6 +1,6 @@
 """License scans: canonical digests of whole texts and of their lines, hash-joined to known licences.
 
-Canonical form: lower case, without copyright lines, equivalent spellings unified, every run of
+Canonical form: lower case, without copyright statements, equivalent spellings unified, every run of
 characters that are no letter or digit one space. The digest of the whole canonical text finds
 documents that are a licence; the digests of canonical lines find notices inside other documents.
 
@@ -49,12 +49,25 @@ LICENSES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
+# Canonical digests of entire published texts; Apache with and without its appendix, by http and https.
+FULL_TEXTS = (
+    ("Apache-2.0", "4225605d4c3647ef2075217a0d52c9ca"), ("Apache-2.0", "2f973fce6821968caa77d834b80cee7c"), ("Apache-2.0", "ba7fbc7298a5e5d558bcf8d99a3a0694"), ("Apache-2.0", "71b2bd815104b9a01c3f714eb505d24b"),
+    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c"), ("GPL-2.0", "e0b7635c5df0abca544f6e8bbe326fde"), ("GPL-3.0", "5eaa767cc0a56c87c3852144458a3bf1"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"), ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"), ("MPL-2.0", "7d4b8b0889da3c01eff3fe431102e6d6"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"), ("CC-BY-SA-4.0", "523e1ae67034d876937bf1d3b440b9ea"),
+)
+
 _COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
+# Statements of who holds the rights: a mark, year or placeholder of a year follows the word. "copyright notice, ..."
+# and list items "(c) ..." belong to the text. The SQL keeps the wider form above.
+_YEAR = r"[\[<({]?(?:\d{4}|yyyy|year)"
+_STATEMENT = rf"(?m)^[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|{_YEAR})|\(c\)[ \t]*(?:copyright\b|{_YEAR})|©|all rights reserved[.!]?[ \t\r]*$)[^\n]*$"
+
 
 def canonical_lines(text: Column) -> Column:
     """Canonical text that still has its line ends."""
-    c = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _COPYRIGHT, "")
+    c = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _STATEMENT, "")
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.regexp_replace(c, r"[^\p{L}\p{N}\n]+", " ")
@@ -64,10 +77,11 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_digests(spark, licenses=LICENSES) -> DataFrame:
-    """``digest, name`` of the known licences: as many rows as ``licenses`` has entries at most."""
+def known_digests(spark, licenses=LICENSES, full_texts=FULL_TEXTS) -> DataFrame:
+    """``digest, name`` of the known licences: as many rows as ``licenses`` and ``full_texts`` have entries at most."""
     rows = spark.createDataFrame([(n, t) for n, t in licenses], "name string, known string")
-    return rows.select(F.md5(canonical(canonical_lines(F.col("known")))).alias("digest"), "name").groupBy("digest").agg(F.min("name").alias("name"))
+    digests = rows.select(F.md5(canonical(canonical_lines(F.col("known")))).alias("digest"), "name")
+    return digests.unionByName(spark.createDataFrame([*full_texts], "name string, digest string")).groupBy("digest").agg(F.min("name").alias("name"))
 
 
 def scan(docs: DataFrame, licenses=LICENSES, most_broadcast: int = 100_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 import zlib
 
@@ -73,6 +74,22 @@ def test_license_scan(spark):
     assert license_scan.scan(odd(spark)).count() == len(ODD) and license_scan.scan(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0")])
+def test_entire_licenses(spark, file, name):
+    path = pathlib.Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("no such text here")
+    assert license_scan.scan(frame(spark, [(1, path.read_text())])).first()["text_license"] == name
+
+
+def test_wrapped_license_keeps_its_words(spark):
+    bsd = next(t for n, t in license_scan.LICENSES if n == "BSD-3-Clause")
+    head = "Copyright (c) 2020, Somebody\nAll rights reserved.\n\n"
+    rows = [(1, head + bsd.replace(" copyright notice", "\ncopyright notice")), (2, "Copyright 2020 A\n(c) 2021 B\n© C\n" + bsd), (3, head + "(c) You must retain " + bsd)]
+    got = {r["doc_id"]: r["text_license"] for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: None}
+
+
 # -- 2 packing --------------------------------------------------------------------------------
 def _pack(df, **o):
     return packing.pack(df, P("byte_bpe_50k.json"), P("byte_bpe_50k.tiktoken"), **o)

@@ -36,21 +36,21 @@ def bm25_build(t):
 
 @query("bm25_score", "SELECT query_id, key, round(score, 6) AS score FROM bm25")
 def bm25_score(t):
-    return rounded(bm25.score(t.text_docs, t.asked_texts))
+    return rounded(bm25.score(t.text_docs, t.all_asked_texts))
 
 
 @query("bm25_persisted", "SELECT query_id, key, round(score, 6) AS score FROM bm25")
 def bm25_persisted(t):
     """The same scores from stored postings and statistics."""
     posted = bm25.postings(t.text_docs)
-    return rounded(bm25.score_postings(posted, *bm25.statistics(posted), bm25.asked(t.asked_texts)))
+    return rounded(bm25.score_postings(posted, *bm25.statistics(posted), bm25.asked(t.all_asked_texts)))
 
 
 @query("bm25_inmemory", "SELECT query_id, key // 4 AS key, round(max(score), 6) AS score FROM bm25 GROUP BY ALL")
 def bm25_inmemory(t):
     """Keys that own several documents: the best document counts."""
     docs = t.text_docs.select(F.floor(F.col("key") / 4).alias("key"), F.col("key").alias("doc_no"), "text")
-    return rounded(bm25.score(docs, t.asked_texts))
+    return rounded(bm25.score(docs, t.all_asked_texts))
 
 
 @query("aggregate_queries_max", "SELECT query_id, global_id, round(max(score), 6) AS score FROM signals GROUP BY ALL")

@@ -44,7 +44,7 @@ def metadata_broadcast(t):
 
 @query("knn_cross_join", "SELECT query_id, global_id, round(score, 6) AS score FROM s64")
 def knn_cross_join(t):
-    return t.lane_scores(t.vectors).withColumn("score", F.round("score", 6))
+    return t.all_scores(t.vectors).withColumn("score", F.round("score", 6))
 
 
 @query("self_similarity_join", "SELECT a.query_id, a.global_id AS a, b.global_id AS b, round(list_dot_product(va.v, vb.v), 6) AS sim FROM top64 a JOIN top64 b ON a.query_id = b.query_id AND a.global_id <> b.global_id JOIN vectors va ON va.global_id = a.global_id JOIN vectors vb ON vb.global_id = b.global_id WHERE a.rank <= 20 AND b.rank <= 20")

@@ -13,19 +13,19 @@ from .scans import _BOTH, both_runs
 
 @query("dense_topk", "SELECT query_id, global_id, round(score, 6) AS score, rank FROM top64")
 def dense_topk(t):
-    return rounded(t.lane_top("visual")).select("query_id", "global_id", "score", "rank")
+    return rounded(fusion.top_k(t.all_scores(t.vectors), 100, ["query_id"])).select("query_id", "global_id", "score", "rank")
 
 
 @query("ann_topk_ivf")
 def ann_topk_ivf(t):
     """Clustered search: nearest cells first, exact scores inside them."""
-    return rounded(ann.ivf_search(t.vectors, t.queries(t.vectors), k=10, cells=8, probes=6)).select("query_id", "rank", "global_id", "score")
+    return rounded(ann.ivf_search(t.vectors, t.query_set(t.vectors), k=10, cells=8, probes=6)).select("query_id", "rank", "global_id", "score")
 
 
 @query("ann_topk_hnsw")
 def ann_topk_hnsw(t):
     """Graph search has no counterpart here: bucketed random projections give the candidates."""
-    return rounded(ann.projection_search(t.vectors, t.queries(t.vectors), k=10)).select("query_id", "rank", "global_id", "score")
+    return rounded(ann.projection_search(t.vectors, t.query_set(t.vectors), k=10)).select("query_id", "rank", "global_id", "score")
 
 
 @query("final_rank", """
@@ -40,7 +40,7 @@ def final_rank(t):
 
 @query("nearest", "SELECT query_id, global_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS r FROM s64 WHERE global_id <> query_id) WHERE r <= 12")
 def nearest(t):
-    return rounded(fusion.top_k(t.lane_scores(t.vectors).where("global_id <> query_id"), 12, ["query_id"])).select("query_id", "global_id", "score")
+    return rounded(fusion.top_k(t.all_scores(t.vectors).where("global_id <> query_id"), 12, ["query_id"])).select("query_id", "global_id", "score")
 
 
 def _display(t):

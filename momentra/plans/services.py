@@ -59,8 +59,8 @@ def embedding_provider_api(t):
     from ..sources import local_models, providers
 
     v = providers.encode(t.raw("benchmark").select("item_id", "text"), local_models.HashingEncoder)
-    q = v.where("item_id < 8").select(F.col("item_id").alias("query_id"), F.col("v").alias("qv"))
-    s = v.join(F.broadcast(q)).where("item_id <> query_id").select("query_id", F.col("item_id").alias("global_id"), F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
+    q = v.select(F.col("item_id").alias("query_id"), F.col("v").alias("qv"))
+    s = v.join(q).where("item_id <> query_id").select("query_id", F.col("item_id").alias("global_id"), F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
     return top_k(s, 5, ["query_id"])
 
 

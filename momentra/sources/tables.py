@@ -49,6 +49,14 @@ class Tables:
         asked = self.queries(lane, n)  # a batch of queries: at most ``n`` rows
         return lane.join(F.broadcast(asked)).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
 
+    def query_set(self, lane: DataFrame) -> DataFrame:
+        """The rows whose id is divisible by 50 ask: a set that grows with the table."""
+        return lane.where(F.col("global_id") % 50 == 0).select(F.col("global_id").alias("query_id"), F.col("v").alias("qv"))
+
+    def all_scores(self, lane: DataFrame) -> DataFrame:
+        """Inner products of every row with each of the query set; neither side is bounded, so Spark deals out blocks of pairs."""
+        return lane.join(self.query_set(lane)).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
+
     def lane_top(self, name: str, k: int = 100) -> DataFrame:
         lane = self.vectors if name == "visual" else self.lane32
         return top_k(self.lane_scores(lane), k, ["query_id"]).select("query_id", F.lit(name).alias("signal"), "global_id", "score", "rank")
@@ -98,6 +106,10 @@ class Tables:
     def asked_texts(self) -> DataFrame:
         return self.raw("benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
 
+    @property
+    def all_asked_texts(self) -> DataFrame:
+        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
     @property
     def text_docs(self) -> DataFrame:
         return self.raw("documents").select(F.col("doc_id").alias("key"), F.lit(0).alias("doc_no"), "text")

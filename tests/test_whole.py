@@ -103,3 +103,26 @@ def test_ocr_context_joins_whole_texts(spark, tmp_path):
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: " | ".join(dict.fromkeys(texts[max(0, i - 2) : i + 3]))[:600] for i in range(5)}
     assert {r["global_id"]: r["context"] for r in QUERIES["ocr_context"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("name, part", [("knn_cross_join", "query_id = 0"), ("dense_topk", "query_id = 0"), ("nearest", "query_id = 0"), ("bm25_score", "query_id < 8"), ("bm25_persisted", "query_id < 8"), ("bm25_inmemory", "query_id < 8")])
+def test_shared_queries_equal_sql(spark, con, name, part):
+    ours, theirs = same(QUERIES[name](spark, FOLDER).where(part), con, f"SELECT * FROM ({SQL[name]}) AS q WHERE {part}")
+    assert ours == theirs and ours
+
+
+@pytest.mark.parametrize("name", ["knn_cross_join", "dense_topk", "nearest", "ann_topk_ivf", "ann_topk_hnsw"])
+def test_every_fiftieth_row_asks(spark, embeddings, name):
+    ids, x = embeddings
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    assert set(got.query_id) == {i for i in ids.tolist() if i % 50 == 0}
+    want = dict(zip(ids.tolist(), x, strict=True))
+    assert np.allclose(got.score, [want[q] @ want[i] for q, i in zip(got.query_id, got.global_id, strict=True)], atol=1e-6)
+    if name == "knn_cross_join":
+        assert len(got) == len(ids) * len(set(got.query_id))
+
+
+def test_every_text_asks(spark):
+    items = {r["item_id"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+    assert {r["query_id"] for r in QUERIES["embedding_provider_api"](spark, FOLDER).collect()} == items
+    assert {r["query_id"] for r in QUERIES["bm25_score"](spark, FOLDER).collect()} > set(range(8))

@@ -2,7 +2,7 @@
 
 Both halves of the vectors are quantised separately; a cell is a pair of centroids. A query walks
 the pairs by summed centroid distance (minus the inner product with either centroid) with a heap
-until the cells seen hold ``visit`` of all vectors. The entries of those cells are reranked by exact
+until the cells seen hold ``visit`` of all vectors and ``k`` besides the query's own. The entries of those cells are reranked by exact
 inner products, summed in double precision in component order.
 
 Cells are cut into blocks of bounded size (a hot cell spreads over many tasks); queries go to the
@@ -11,7 +11,7 @@ blocks of the cells they visit, and only the best ``k`` of a query and block lea
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components take no part, neither as query nor as candidate; rows without an id likewise.
 Ties go to the smaller id. Repeated rows are all candidates (but a query's own id is not). Fewer
-candidates than ``k``: all of those visited. Empty table: no rows. Further columns are ignored.
+candidates than ``k`` in all: all of them. Empty table: no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,9 +123,9 @@ def search(
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for qid, v in zip(b["id"], b["v"], strict=True):
+            for qid, v, own in zip(b["id"], b["v"], b["own"], strict=True):
                 x = np.frombuffer(v, "<f8")
-                cells = traverse(-(c1 @ x[:half]), -(c2 @ x[half:]), counts, need)
+                cells = traverse(-(c1 @ x[:half]), -(c2 @ x[half:]), counts, max(need, k + own))
                 at = np.repeat(cells, blocks[cells]).astype(np.int32)
                 part = np.concatenate([np.arange(blocks[c]) for c in cells]).astype(np.int32)
                 yield pd.DataFrame({"query_id": qid, "qv": v, "cell": at, "part": part})
@@ -145,7 +145,8 @@ def search(
 
     cells = index.join(F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "cell int, blocks int")), "cell")
     entries = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int").alias("part"))
-    wanted = index.where("q").select("id", "v").mapInPandas(probes, "query_id long, qv binary, cell int, part int")
+    repeated = index.groupBy("id").agg(F.count("*").alias("own")).where("own > 1")  # rows of a query's own id are no candidates
+    wanted = index.where("q").join(repeated, "id", "left").select("id", "v", F.coalesce("own", F.lit(1)).alias("own")).mapInPandas(probes, "query_id long, qv binary, cell int, part int")
     found = entries.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
     return found.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.s")).alias("score"))

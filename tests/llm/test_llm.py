@@ -157,6 +157,16 @@ def test_ann_odd_vectors_and_ties(spark):
     assert ann.search(v.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n, copies", [(5, 1), (21, 1), (30, 1), (30, 9)])
+def test_ann_fills_k_on_small_tables(spark, n, copies):
+    x = np.random.default_rng(3).normal(size=(n + copies - 1, 8))
+    rows = [(max(0, i - copies + 1), v.tolist()) for i, v in enumerate(x)]  # id 0 has so many rows
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(v, F.lit(True), k=20).select("query_id", "vec_id").toPandas()
+    others = [(q, sum(i != q for i, _ in rows)) for q in {i for i, _ in rows}]
+    assert got.groupby("query_id").size().to_dict() == {q: min(20, m) for q, m in others} and (got.query_id != got.vec_id).all()
+
+
 # -- 4 mixing ---------------------------------------------------------------------------------
 def test_raked_marginals_meet_targets(spark):
     rng = np.random.default_rng(1)

@@ -5,14 +5,19 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a private one where that is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="momentra_")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,14 +44,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: a writer holds one of them
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def some(df: DataFrame) -> bool:
+    """Whether ``df`` has a row, by one job over all its partitions."""
+    return df.agg(F.count("*")).first()[0] > 0
+
+
+def tidied(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``build``, after which the tables that it has written and that its result does not read are gone."""
+
+    @wraps(build)
+    def run(*args, **options):
+        before = len(_made)
+        out = build(*args, **options)
+        read = {part for f in out.inputFiles() for part in f.split("/")}
+        for path in _made[before:]:
+            if path.rpartition("/")[2] not in read:
+                drop_path(out.sparkSession, path)
+                _made.remove(path)
+        return out
+
+    return run
+
+
+def forget(table: DataFrame) -> None:
+    """Removes a table that ``written`` gave and nothing reads any more."""
+    read = {part for f in table.inputFiles() for part in f.split("/")}
+    for path in [p for p in _made if p.rpartition("/")[2] in read]:
+        drop_path(table.sparkSession, path)
+        _made.remove(path)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _located(spark, path)
+    return fs.exists(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _located(spark, path)
+    fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -22,9 +22,9 @@ class Engine:
         return c.asDict()
 
     def search(self, vectors: DataFrame, k: int | None = None) -> DataFrame:
-        """Ranked keyframes for ``vectors (query_id, qv)``, a bounded batch."""
+        """Ranked keyframes for ``vectors (query_id, qv)``, of any number."""
         t = self.tables
-        s = t.vectors.join(F.broadcast(vectors)).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
+        s = t.vectors.join(vectors).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
         top = t.with_video(fusion.top_k(s, self.params.topk, ["query_id"]).drop("rank"))
         boosted = fusion.neighbor_boost(top, self.params.neighbor_boost, self.params.neighbor_window)
         return fusion.top_k(boosted, k or self.params.display_k, ["query_id"])
@@ -40,7 +40,7 @@ class Engine:
     def trake(self, events: DataFrame, n_events: int) -> DataFrame:
         """Chains for ``events (query_id, event_idx, qv)``: videos pooled by event hits, then aligned."""
         t, p = self.tables, self.temporal
-        sims = t.vectors.join(F.broadcast(events)).select("query_id", "event_idx", "global_id", dot(F.col("qv"), F.col("v")).alias("sim"))
+        sims = t.vectors.join(events).select("query_id", "event_idx", "global_id", dot(F.col("qv"), F.col("v")).alias("sim"))
         sims = sims.join(t.catalog.select("global_id", "video_id", "n", F.col("pts_time").alias("time")), "global_id")
         pooled = sequence.pool_videos(sims.withColumnRenamed("sim", "score"), p.videos).select("query_id", "video_id")
         best = sequence.align(sims.join(pooled, ["query_id", "video_id"]), n_events, p.max_gap, p.min_gap, p.floor, p.penalty)

@@ -77,16 +77,16 @@ def retry_low_confidence(primary: DataFrame, alternates: DataFrame, confidence:
 
 
 def pairwise_losses(pairs: DataFrame, scale: float = 10.0, bias: float = -5.0) -> DataFrame:
-    """Sigmoid, contrastive and distillation losses of one batch of ``(a, b, i, j)`` vector pairs.
+    """Sigmoid, contrastive and distillation losses of each batch of ``(batch, a, b, i, j)`` vector pairs.
 
     Pairs are summed where they are made; only a row each of ``i`` and ``j`` is moved.
     """
-    s = pairs.select("i", "j", dot(F.col("a"), F.col("b")).alias("s"))
+    s = pairs.select("batch", "i", "j", dot(F.col("a"), F.col("b")).alias("s"))
     logit = F.lit(scale) * F.col("s") + F.lit(bias)
     same = F.col("i") == F.col("j")
     e = F.exp(F.lit(scale) * F.col("s"))
-    rows, cols = s.groupBy("i").agg(F.log(F.sum(e)).alias("lr")), s.groupBy("j").agg(F.log(F.sum(e)).alias("lc"))
-    own = s.where(same).join(rows, "i").join(cols, "j").withColumn("c", (F.col("lr") + F.col("lc")) / 2 - F.lit(scale) * F.col("s"))
-    told = own.agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(1 - F.col("s")).alias("d"))
-    total = s.agg(F.sum(F.log1p(F.exp(F.when(same, -1.0).otherwise(1.0) * logit))).alias("g"))
-    return total.join(told).select((F.col("g") / F.col("n")).alias("sigmoid"), (F.col("c") / F.col("n")).alias("contrastive"), (F.col("d") / F.col("n")).alias("distill"))
+    rows, cols = s.groupBy("batch", "i").agg(F.log(F.sum(e)).alias("lr")), s.groupBy("batch", "j").agg(F.log(F.sum(e)).alias("lc"))
+    own = s.where(same).join(rows, ["batch", "i"]).join(cols, ["batch", "j"]).withColumn("c", (F.col("lr") + F.col("lc")) / 2 - F.lit(scale) * F.col("s"))
+    told = own.groupBy("batch").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(1 - F.col("s")).alias("d"))
+    total = s.groupBy("batch").agg(F.sum(F.log1p(F.exp(F.when(same, -1.0).otherwise(1.0) * logit))).alias("g"))
+    return total.join(told, "batch").select("batch", (F.col("g") / F.col("n")).alias("sigmoid"), (F.col("c") / F.col("n")).alias("contrastive"), (F.col("d") / F.col("n")).alias("distill"))

@@ -37,8 +37,9 @@ CTES = {
     "catalog": f"SELECT vec_id AS global_id, {_VIDEO.format(g='vec_id')} AS video_id, vec_id % 20 + 1 AS n, vec_id % 20 * 125 AS frame_idx, vec_id % 20 * 5.0::DOUBLE AS pts_time, 25.0::DOUBLE AS fps, vec_id % 7 <> 3 AS has_map, label FROM embeddings",
     "vectors": "SELECT vec_id AS global_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
     "lane32": "SELECT global_id, list_transform(v[1:32], lambda x: x / sqrt(list_dot_product(v[1:32], v[1:32]))) AS v, label FROM vectors",
-    "s64": "SELECT q.global_id AS query_id, c.global_id, list_dot_product(q.v, c.v) AS score FROM vectors c JOIN vectors q ON q.global_id < 8",
-    "s32": "SELECT q.global_id AS query_id, c.global_id, list_dot_product(q.v, c.v) AS score FROM lane32 c JOIN lane32 q ON q.global_id < 8",
+    "s64": "SELECT q.global_id // 50 AS query_id, c.global_id, list_dot_product(q.v, c.v) AS score FROM vectors c JOIN vectors q ON q.global_id % 50 = 0",
+    "a64": "SELECT q.global_id AS query_id, c.global_id, list_dot_product(q.v, c.v) AS score FROM vectors c JOIN vectors q ON q.global_id % 50 = 0",
+    "s32": "SELECT q.global_id // 50 AS query_id, c.global_id, list_dot_product(q.v, c.v) AS score FROM lane32 c JOIN lane32 q ON q.global_id % 50 = 0",
     "top64": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS rank FROM s64) WHERE rank <= 100",
     "top32": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS rank FROM s32) WHERE rank <= 100",
     "signals": "SELECT query_id, 'visual' AS signal, global_id, score FROM top64 UNION ALL SELECT query_id, 'alt', global_id, score FROM top32 UNION ALL SELECT query_id, 'object', global_id, global_id % 7 / 7.0::DOUBLE FROM top64 WHERE global_id % 3 = 0",
@@ -47,12 +48,12 @@ CTES = {
     "fusedv": f"SELECT *, {_VIDEO.format(g='global_id')} AS video_id FROM fused",
     "run_a": "SELECT query_id, rank, c.video_id, c.frame_idx, 'Label ' || c.label || CASE WHEN rank % 3 = 0 THEN '.' ELSE '' END AS answer, score FROM top64 JOIN catalog c USING (global_id)",
     "run_b": "SELECT query_id, rank, c.video_id, c.frame_idx, 'Label ' || c.label || CASE WHEN rank % 3 = 0 THEN '.' ELSE '' END AS answer, score FROM top32 JOIN catalog c USING (global_id)",
-    "gt": "SELECT global_id % 50 AS query_id, global_id // 50 AS event_idx, video_id, frame_idx - 60 AS lo, frame_idx + 60 AS hi, ['label ' || label] AS answers FROM catalog WHERE global_id % 50 < 8",
+    "gt": "SELECT global_id % 50 AS query_id, global_id // 50 AS event_idx, video_id, frame_idx - 60 AS lo, frame_idx + 60 AS hi, ['label ' || label] AS answers FROM catalog",
     "tracks": "SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS hours, event_id AS global_id, event_type, value FROM events",
     "detections": "SELECT l_orderkey AS frame, l_returnflag AS entity, 1 - l_discount AS score, l_tax * 10 AS x FROM lineitem",
     "segments": "SELECT conv_id AS video_id, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + 8 AS stop, text, turn FROM conversations",
     "post": f"SELECT doc_id AS key, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(ws) AS token, len(ws) AS dl FROM (SELECT doc_id, {_TOKENS.format(t='text')} AS ws FROM documents)) GROUP BY doc_id, token",
-    "asked": f"SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS.format(t='text')}) AS token FROM benchmark WHERE item_id < 8) GROUP BY ALL",
+    "asked": f"SELECT item_id AS query_id, token, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS.format(t='text')}) AS token FROM benchmark) GROUP BY ALL",
     "df": "SELECT token, count(*) AS df FROM post GROUP BY token",
     "corpus": "SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM (SELECT key, any_value(dl) AS dl FROM post GROUP BY key)",
     "bm25": "SELECT query_id, key, sum(times * ln((n_docs + 1) / df) * tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf)) AS score FROM post JOIN asked USING (token) JOIN df USING (token), corpus GROUP BY query_id, key HAVING sum(times * ln((n_docs + 1) / df) * tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf)) > 1e-9",

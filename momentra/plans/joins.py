@@ -42,7 +42,7 @@ def metadata_broadcast(t):
     return t.catalog.join(video, "video_id").select("global_id", F.round("score", 6).alias("score"))
 
 
-@query("knn_cross_join", "SELECT query_id, global_id, round(score, 6) AS score FROM s64")
+@query("knn_cross_join", "SELECT query_id, global_id, round(score, 6) AS score FROM a64")
 def knn_cross_join(t):
     return t.all_scores(t.vectors).withColumn("score", F.round("score", 6))
 
@@ -80,8 +80,8 @@ def asr_context(t):
 
 
 @query("ocr_context", """
-WITH near AS (SELECT a.global_id, c.n, left(d.text, 30) AS s FROM catalog a JOIN catalog c ON c.video_id = a.video_id AND abs(c.n - a.n) <= 2 JOIN documents d ON d.doc_id = c.global_id),
-firsts AS (SELECT global_id, s, min(n) AS n FROM near GROUP BY global_id, s)
+WITH near AS (SELECT a.global_id, c.n, d.text AS whole FROM catalog a JOIN catalog c ON c.video_id = a.video_id AND abs(c.n - a.n) <= 2 JOIN documents d ON d.doc_id = c.global_id),
+firsts AS (SELECT global_id, left(whole, 600) AS s, min(n) AS n FROM near GROUP BY global_id, whole)
 SELECT global_id, left(string_agg(s, ' | ' ORDER BY n, s), 600) AS context FROM firsts GROUP BY global_id""")
 def ocr_context(t):
     docs = t.raw("documents").select(F.col("doc_id").alias("global_id"), F.left("text", F.lit(600)).alias("s"), F.sha2("text", 256).alias("whole"))  # the context ends at 600 characters; repeats are told by whole texts
@@ -109,8 +109,8 @@ def run_diff_full_outer(t):
     return evaluate.top1_diff(t.run("a").where("query_id <> 1"), t.run("b").where("query_id <> 5"))
 
 
-@query("hamming_join", "WITH h AS (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog WHERE global_id < 120) SELECT a.global_id AS a, b.global_id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM h a JOIN h b ON a.global_id < 40")
+@query("hamming_join", "WITH h AS (SELECT global_id, CAST('0x' || substr(md5(CAST(global_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM catalog) SELECT a.global_id AS a, b.global_id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM h a JOIN h b ON a.global_id % 50 = 0")
 def hamming_join(t):
     h = t.catalog.select("global_id", F.conv(F.substring(F.md5(F.col("global_id").cast("string")), 1, 15), 16, 10).cast("long").alias("h"))
-    frames = h.select(F.col("global_id").alias("a"), F.col("h").alias("ha"))  # the matrix of all pairs
+    frames = h.where("global_id % 50 = 0").select(F.col("global_id").alias("a"), F.col("h").alias("ha"))  # the query set against all rows
     return frames.join(h.select(F.col("global_id").alias("b"), "h")).select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("h"))).alias("distance"))

@@ -11,7 +11,7 @@ from .base import query
 from .scans import _BOTH, both_runs
 
 
-@query("dense_topk", "SELECT query_id, global_id, round(score, 6) AS score, rank FROM top64")
+@query("dense_topk", "SELECT query_id, global_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS rank FROM a64) WHERE rank <= 100")
 def dense_topk(t):
     return rounded(fusion.top_k(t.all_scores(t.vectors), 100, ["query_id"])).select("query_id", "global_id", "score", "rank")
 
@@ -38,7 +38,7 @@ def final_rank(t):
     return rounded(out).select("query_id", "rank", "global_id", "video_id", "frame_idx", "score", "signals")
 
 
-@query("nearest", "SELECT query_id, global_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS r FROM s64 WHERE global_id <> query_id) WHERE r <= 12")
+@query("nearest", "SELECT query_id, global_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS r FROM a64 WHERE global_id <> query_id) WHERE r <= 12")
 def nearest(t):
     return rounded(fusion.top_k(t.all_scores(t.vectors).where("global_id <> query_id"), 12, ["query_id"])).select("query_id", "global_id", "score")
 

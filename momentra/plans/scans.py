@@ -44,7 +44,7 @@ def scan_media_info(t):
 
 @query("scan_detections", """
 SELECT l_orderkey AS frame, l_returnflag AS entity, round(CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 - l_discount END, 6) AS score, round(l_tax * 10, 6) AS x
-FROM lineitem WHERE l_orderkey < 2000""")
+FROM lineitem""")
 def scan_detections(t):
     lines = t.raw("lineitem")
     score = F.when(F.col("l_linenumber") == 1, F.lit(None)).otherwise((1 - F.col("l_discount")).cast("string"))

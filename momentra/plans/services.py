@@ -114,4 +114,4 @@ def http_service(t):
     """The service surface as a plan: a text-vector search with boosts, as a client would get it."""
     from ..api import Engine
 
-    return Engine(t.spark, t.folder).search(t.queries(t.vectors, 4), 20).select("query_id", "rank", "global_id", "video_id", F.round("score", 6).alias("score"))
+    return Engine(t.spark, t.folder).search(t.queries(t.vectors), 20).select("query_id", "rank", "global_id", "video_id", F.round("score", 6).alias("score"))

@@ -25,10 +25,11 @@ def fuse_signals_min(t):
     return rounded(top.join(t.catalog, "global_id")).select("query_id", "rank", "global_id", "video_id", "frame_idx", "score")
 
 
-@query("cosine_sim", "SELECT q.global_id AS a, c.global_id AS b, round(list_cosine_similarity(q.v, c.v), 6) AS sim FROM vectors q JOIN vectors c ON q.global_id < 4 AND c.global_id BETWEEN 100 AND 150")
+@query("cosine_sim", "SELECT q.global_id AS a, c.global_id AS b, round(list_cosine_similarity(q.v, c.v), 6) AS sim FROM vectors q JOIN vectors c ON q.global_id % 50 = 0")
 def cosine_sim(t):
     v = t.vectors.select("global_id", "v", norm(F.col("v")).alias("n"))
-    a, b = v.select(F.col("global_id").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), v.select(F.col("global_id").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
+    asked = v.where("global_id % 50 = 0")
+    a, b = asked.select(F.col("global_id").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), v.select(F.col("global_id").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
     return a.join(b).select("a", "b", F.round(dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")), 6).alias("sim"))
 
 
@@ -39,7 +40,7 @@ def _mean(v: str) -> str:
 _SG = f"""pool AS (SELECT t.query_id, t.global_id, list_transform(v.v, lambda x: x / sqrt(list_dot_product(v.v, v.v))) AS u FROM top64 t JOIN vectors v USING (global_id) WHERE t.rank <= 40),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query_id, global_id ORDER BY s DESC, other) AS r FROM (SELECT a.query_id, a.global_id, b.global_id AS other, b.u AS ub, list_dot_product(a.u, b.u) AS s FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.global_id <> b.global_id)),
 around AS (SELECT query_id, global_id, {_mean('list(ub)')} AS m FROM nn WHERE r <= 10 GROUP BY ALL),
-qq AS (SELECT global_id AS query_id, v AS q FROM vectors WHERE global_id < 8),
+qq AS (SELECT global_id // 50 AS query_id, v AS q FROM vectors WHERE global_id % 50 = 0),
 base AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, global_id) AS r FROM (SELECT p.*, q, list_dot_product(u, q) AS s FROM pool p JOIN qq USING (query_id))),
 head AS (SELECT query_id, any_value(q) AS q, {_mean('list(u)')} AS hm FROM base WHERE r <= 10 GROUP BY query_id),
 q2 AS (SELECT query_id, list_transform(range(1, 65), lambda i: q[i] + hm[i]) AS w FROM head),
@@ -56,7 +57,7 @@ def _pool(t):
     return t.lane_top("visual", 40).select("query_id", "global_id").join(t.vectors.select("global_id", "v"), "global_id")
 
 
-_ROC = f"""moved AS (SELECT q.query_id, list_transform(range(1, 65), lambda i: q.v[i] + 0.75 * p.m[i] - 0.15 * n.m[i]) AS w FROM (SELECT global_id AS query_id, v FROM vectors WHERE global_id < 8) q
+_ROC = f"""moved AS (SELECT q.query_id, list_transform(range(1, 65), lambda i: q.v[i] + 0.75 * p.m[i] - 0.15 * n.m[i]) AS w FROM (SELECT global_id // 50 AS query_id, v FROM vectors WHERE global_id % 50 = 0) q
   JOIN (SELECT query_id, {_mean('list(v.v)')} AS m FROM top64 JOIN vectors v USING (global_id) WHERE rank BETWEEN 2 AND 4 GROUP BY query_id) p USING (query_id)
   JOIN (SELECT query_id, {_mean('list(v.v)')} AS m FROM top64 JOIN vectors v USING (global_id) WHERE rank BETWEEN 90 AND 95 GROUP BY query_id) n USING (query_id)),
 fb AS (SELECT m.query_id, c.global_id, list_dot_product(m.w, c.v) / sqrt(list_dot_product(m.w, m.w)) AS score FROM moved m, vectors c)"""
@@ -66,7 +67,7 @@ fb AS (SELECT m.query_id, c.global_id, list_dot_product(m.w, c.v) / sqrt(list_do
 def rocchio(t):
     told = t.lane_top("visual").join(t.vectors.select("global_id", "v"), "global_id")
     moved = rerank.rocchio(t.queries(t.vectors), told.where("rank between 2 and 4"), told.where("rank between 90 and 95"), 64)
-    s = t.vectors.join(F.broadcast(moved)).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
+    s = t.vectors.join(moved).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
     return rounded(fusion.top_k(s, 50, ["query_id"])).select("query_id", "global_id", "score")
 
 
@@ -156,14 +157,14 @@ def kis_multi_event(t):
 
 
 @query("pairwise_losses", """
-WITH p AS (SELECT a.global_id AS i, b.global_id AS j, list_dot_product(a.v, list_transform(range(1, 65), lambda k: b.v[k] + 0.1)) AS s FROM vectors a, vectors b WHERE a.global_id < 32 AND b.global_id < 32),
+WITH p AS (SELECT a.global_id // 32 AS batch, a.global_id AS i, b.global_id AS j, list_dot_product(a.v, list_transform(range(1, 65), lambda k: b.v[k] + 0.1)) AS s FROM vectors a JOIN vectors b ON a.global_id // 32 = b.global_id // 32),
 w AS (SELECT *, ln(sum(exp(10 * s)) OVER (PARTITION BY i)) - 10 * s AS lr, ln(sum(exp(10 * s)) OVER (PARTITION BY j)) - 10 * s AS lc FROM p)
-SELECT round(sum(ln(1 + exp(-CASE WHEN i = j THEN 1 ELSE -1 END * (10 * s - 5)))) / 32, 6) AS sigmoid, round(sum((lr + lc) / 2) FILTER (i = j) / 32, 6) AS contrastive, round(sum(1 - s) FILTER (i = j) / 32, 6) AS distill FROM w""")
+SELECT batch, round(sum(ln(1 + exp(-CASE WHEN i = j THEN 1 ELSE -1 END * (10 * s - 5)))) / count(*) FILTER (i = j), 6) AS sigmoid, round(sum((lr + lc) / 2) FILTER (i = j) / count(*) FILTER (i = j), 6) AS contrastive, round(sum(1 - s) FILTER (i = j) / count(*) FILTER (i = j), 6) AS distill FROM w GROUP BY batch""")
 def pairwise_losses(t):
-    v = t.vectors  # all rows are one batch
-    a = v.select(F.col("global_id").alias("i"), F.col("v").alias("a"))
-    b = v.select(F.col("global_id").alias("j"), F.transform("v", lambda x: x + 0.1).alias("b"))
-    return rounded(rerank.pairwise_losses(a.join(b)), "sigmoid", "contrastive", "distill")
+    v = t.vectors.withColumn("batch", F.floor(F.col("global_id") / 32))  # every row, in batches of 32
+    a = v.select("batch", F.col("global_id").alias("i"), F.col("v").alias("a"))
+    b = v.select("batch", F.col("global_id").alias("j"), F.transform("v", lambda x: x + 0.1).alias("b"))
+    return rounded(rerank.pairwise_losses(a.join(b, "batch")), "sigmoid", "contrastive", "distill")
 
 
 @query("wiseft_interpolate", "SELECT global_id, round(0.7 * v[1] + 0.3 * v[2], 6) AS first, round(0.7 * v[64] + 0.3 * v[1], 6) AS last FROM vectors")

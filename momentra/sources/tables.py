@@ -41,13 +41,16 @@ class Tables:
     def lane32(self) -> DataFrame:
         return self.vectors.select("global_id", truncate(F.col("v"), 32).alias("v"), "label")
 
-    def queries(self, lane: DataFrame, n: int = 8) -> DataFrame:
-        return lane.where(F.col("global_id") < n).select(F.col("global_id").alias("query_id"), F.col("v").alias("qv"))
+    def queries(self, lane: DataFrame, n: int | None = None) -> DataFrame:
+        """Numbered queries: the rows whose id is divisible by 50, or a batch of the first ``n`` rows."""
+        if n is not None:
+            return lane.where(F.col("global_id") < n).select(F.col("global_id").alias("query_id"), F.col("v").alias("qv"))
+        return lane.where(F.col("global_id") % 50 == 0).select(F.floor(F.col("global_id") / 50).alias("query_id"), F.col("v").alias("qv"))
 
-    def lane_scores(self, lane: DataFrame, n: int = 8) -> DataFrame:
-        """Inner products of every row with each of a bounded list of queries."""
-        asked = self.queries(lane, n)  # a batch of queries: at most ``n`` rows
-        return lane.join(F.broadcast(asked)).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
+    def lane_scores(self, lane: DataFrame, n: int | None = None) -> DataFrame:
+        """Inner products of every row with each query; without ``n`` neither side is bounded, so Spark deals out blocks of pairs."""
+        asked = self.queries(lane, n) if n is None else F.broadcast(self.queries(lane, n))
+        return lane.join(asked).select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
 
     def query_set(self, lane: DataFrame) -> DataFrame:
         """The rows whose id is divisible by 50 ask: a set that grows with the table."""
@@ -80,9 +83,8 @@ class Tables:
 
     @property
     def ground_truth(self) -> DataFrame:
-        """``query_id, event_idx, video_id, lo, hi, answers``: windows of 60 frames about ten keyframes a query."""
-        hits = self.catalog.where("global_id % 50 < 8")
-        return hits.select((F.col("global_id") % 50).alias("query_id"), F.floor(F.col("global_id") / 50).cast("int").alias("event_idx"), "video_id", (F.col("frame_idx") - 60).alias("lo"), (F.col("frame_idx") + 60).alias("hi"), F.array(F.concat(F.lit("label "), F.col("label"))).alias("answers"))
+        """``query_id, event_idx, video_id, lo, hi, answers``: windows of 60 frames about every fiftieth keyframe for each of 50 queries."""
+        return self.catalog.select((F.col("global_id") % 50).alias("query_id"), F.floor(F.col("global_id") / 50).cast("int").alias("event_idx"), "video_id", (F.col("frame_idx") - 60).alias("lo"), (F.col("frame_idx") + 60).alias("hi"), F.array(F.concat(F.lit("label "), F.col("label"))).alias("answers"))
 
     @property
     def tracks(self) -> DataFrame:
@@ -104,10 +106,6 @@ class Tables:
 
     @property
     def asked_texts(self) -> DataFrame:
-        return self.raw("benchmark").where("item_id < 8").select(F.col("item_id").alias("query_id"), "text")
-
-    @property
-    def all_asked_texts(self) -> DataFrame:
         return self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
     @property

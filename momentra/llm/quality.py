@@ -3,9 +3,11 @@
 Base rules count words, symbols, duplicate lines and repeated 8-word windows. The divergence rules
 compare two histograms of a document with its language's reference by Jensen-Shannon distance (base
 2, 0 to 1): character classes, and the language's commonest words (with the rest as one class). The
-references are the pooled histograms of all documents of the language; a language without a word list
-is compared by character classes alone. Texts below a minimum length are too short to judge by a
-histogram and are held to the base rules only.
+references are a stored table that a caller passes on from batch to batch, or else the pooled
+histograms of those documents of the language that pass the base rules and are long enough to judge,
+so junk and boilerplate do not shape them. A language without a reference (none of its documents is
+fit) or word list is not compared by it. Texts below a minimum length are too short to judge by a
+histogram and are held to the base rules only. Features are computed once and written.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is one
 more language (''); repeated rows and rows with a null ``doc_id`` are judged each on its own; an empty
@@ -31,7 +33,8 @@ COMMON = {
 }
 _SPLIT = r"[\x20\x09-\x0D]+"
 # Character classes, each the characters removed by its pattern.
-_CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]")
+_CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[\x20\x09-\x0D]+", r"[.,;:!?'\"()\-]+", r"[#*$%&|<>]+")
+_SPACES, _SYMBOLS = 3, 5
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,13 +94,12 @@ def _common_counts(words: Column, lang: Column) -> Column:
     return out.otherwise(F.array().cast("array<double>"))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns), ``l`` and every count and histogram: one pass over the texts.
+def features(docs: DataFrame, carry: Column) -> DataFrame:
+    """``row`` (``carry``), ``l`` and every count and histogram: one pass over the texts.
 
     Steps are projections of their own, so that what a later one uses twice is computed once.
     """
-    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    told = told.select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("t"), F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("l"))
+    told = docs.select(carry.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("l"))
     kept, rest = ["row", "l", "t"], "t"
     told = told.withColumn("s0", F.length("t"))
     kept.append("s0")
@@ -116,10 +118,9 @@ def features(docs: DataFrame) -> DataFrame:
     for step in (1, 2, 4):
         told = told.withColumn("h", _doubled("h", step))
     told = told.withColumn("h", F.when(F.size("h") >= 8, F.slice("h", F.lit(1), F.size("h") - 7)).otherwise(F.array().cast("array<bigint>")))
-    space, symbols = _CLASSES.index(r"[\x20\x09-\x0D]"), len(_CLASSES) - 1
-    # (an id that is not deterministic keeps filters above this projection: below it they would repeat all of it)
-    told = told.select("row", "l", "n_code_points", "hc", "n_words", "n_dup_lines", "hw", _repeat_words(F.col("h")).alias("n_repeat_words"), F.monotonically_increasing_id().alias("fence"))
-    return told.withColumn("word_chars", (F.col("n_code_points") - F.get("hc", F.lit(space))).cast("long")).withColumn("n_symbols", F.get("hc", F.lit(symbols)).cast("long"))
+    told = told.select("row", "l", "n_code_points", "hc", "n_words", "n_dup_lines", "hw", _repeat_words(F.col("h")).alias("n_repeat_words"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return told.withColumn("word_chars", (F.col("n_code_points") - F.get("hc", F.lit(_SPACES))).cast("long")).withColumn("n_symbols", F.get("hc", F.lit(_SYMBOLS)).cast("long")).withColumn("base_failed", failed)
 
 
 def _shares(counts: Column) -> Column:
@@ -136,45 +137,41 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((F.size(p) > 0) & (F.size(q) > 0), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
-def references(told: DataFrame) -> DataFrame:
-    """``ref_lang, ref_chars, ref_words``: pooled shares over all documents of each language."""
+def references(told: DataFrame, least_chars: int = 400, least_words: int = 100) -> DataFrame:
+    """``ref_lang, ref_chars, ref_words``: pooled shares of ``features`` rows of each language that are fit to judge by."""
     longest = max(map(len, COMMON.values())) + 1
-    sums = told.groupBy(F.col("l").alias("ref_lang")).agg(*[F.sum(F.get("hc", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 1)], *[F.sum(F.get("hw", F.lit(k))).alias(f"w{k}") for k in range(longest)])
+    fit = told.where(~F.col("base_failed") & (F.col("n_code_points") >= least_chars) & (F.col("n_words") >= least_words))
+    sums = fit.groupBy(F.col("l").alias("ref_lang")).agg(*[F.sum(F.get("hc", F.lit(k))).alias(f"c{k}") for k in range(len(_CLASSES) + 1)], *[F.sum(F.get("hw", F.lit(k))).alias(f"w{k}") for k in range(longest)])
     words = F.filter(F.array(*[F.col(f"w{k}") for k in range(longest)]), lambda x: x.isNotNull())
     return sums.select("ref_lang", _shares(F.array(*[F.col(f"c{k}") for k in range(len(_CLASSES) + 1)])).alias("ref_chars"), _shares(words).alias("ref_words"))
 
 
-def _verdicts(told: DataFrame, refs: DataFrame, most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> DataFrame:
+@shared.tidied
+def judged(docs: DataFrame, carry: Column, stored: DataFrame | None = None, most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> DataFrame:
+    """``row`` (``carry``) with base counts, both distances and the verdict ``kept`` beside it.
+
+    What is carried, counts and histograms are written once; references (unless ``stored`` has them)
+    are sums over that table, and verdicts need no text.
+    """
+    told = shared.written(features(docs, carry), "features")
+    refs = stored if stored is not None else shared.written(references(told, least_chars, least_words), "references")
     if refs.count() <= 10_000:  # a few hundred bytes a language
         refs = F.broadcast(refs)
     held = told.join(refs, F.col("l") == F.col("ref_lang"), "left")
-    held = held.select("row", "fence", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_code_points", js_distance(_shares(F.col("hc")), F.col("ref_chars")).alias("char_distance"), js_distance(_shares(F.col("hw")), F.col("ref_words")).alias("word_distance"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    held = held.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_code_points", js_distance(_shares(F.col("hc")), F.col("ref_chars")).alias("char_distance"), js_distance(_shares(F.col("hw")), F.col("ref_words")).alias("word_distance"))
     apart = ((F.col("n_code_points") >= least_chars) & (F.coalesce("char_distance", F.lit(0.0)) > most_chars)) | ((F.col("n_words") >= least_words) & (F.coalesce("word_distance", F.lit(0.0)) > most_words))
-    return held.withColumn("base_failed", failed).withColumn("kept", ~failed & ~apart)
-
-
-def judged(docs: DataFrame, **thresholds) -> DataFrame:
-    """``docs`` as struct ``row`` with base counts, both distances and the verdict ``kept`` beside it.
-
-    Counts and histograms are written once (with the columns of ``docs``); references are their sums,
-    and verdicts need no text. Thresholds: ``most_chars, most_words, least_chars, least_words``.
-    """
-    told = shared.written(features(docs), "features")
-    return _verdicts(told, shared.written(references(told), "references"), **thresholds)
+    return held.withColumn("kept", ~F.col("base_failed") & ~apart)
 
 
-def filtered(docs: DataFrame, **thresholds) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns; no text is written in between."""
-    told = features(docs.select("text", "lang"))  # only the histograms of it are computed
-    refs = shared.written(references(told), "references")
-    return _verdicts(features(docs), refs, **thresholds).where("kept and fence >= 0").select("row.*")
+def filtered(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return judged(docs, row, **options).where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    told = shared.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judged(told)
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    out = judged(shared.table(spark, sf_dir, "documents"), F.col("doc_id"))
+    return out.select(F.col("row").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def _op8_sql(most_chars: float = 0.2, most_words: float = 0.3, least_chars: int = 400, least_words: int = 100) -> str:
@@ -204,7 +201,10 @@ hist AS (
 each AS (
   SELECT *, CASE WHEN list_sum(c) > 0 THEN list_transform(c, lambda x: x / list_sum(c)) ELSE list_transform(c, lambda x: 0.0) END AS hc,
     CASE WHEN len(w) > 0 AND list_sum(w) > 0 THEN list_transform(w, lambda x: x / list_sum(w)) ELSE list_transform(w, lambda x: 0.0) END AS hw FROM hist),
-cells AS (SELECT l, 'c' AS kind, unnest(c) AS v, generate_subscripts(c, 1) AS k FROM hist UNION ALL SELECT l, 'w', unnest(w), generate_subscripts(w, 1) FROM hist),
+fit AS (
+  SELECT hist.* FROM hist LEFT JOIN covered ON hist.rid = covered.rid
+  WHERE len(ws) >= {least_words} AND length(t) >= {least_chars} AND 100 * coalesce(covered.n, 0) <= 30 * len(ws) AND len(ws) >= 20),
+cells AS (SELECT l, 'c' AS kind, unnest(c) AS v, generate_subscripts(c, 1) AS k FROM fit UNION ALL SELECT l, 'w', unnest(w), generate_subscripts(w, 1) FROM fit),
 sums AS (SELECT l, kind, k, sum(v) AS v FROM cells GROUP BY ALL),
 refs AS (SELECT l, kind, list(CASE WHEN total > 0 THEN v / total ELSE 0 END ORDER BY k) AS q FROM (SELECT *, sum(v) OVER (PARTITION BY l, kind) AS total FROM sums) GROUP BY l, kind),
 far AS (

@@ -4,8 +4,8 @@ Canonical form: lower case, without copyright statements, equivalent spellings u
 characters that are no letter or digit one space. The digest of the whole canonical text finds
 documents that are a licence; the digests of canonical lines find notices inside other documents.
 
-Defined cases: null and empty texts match nothing; repeated rows give repeated results; rows with a
-null ``doc_id`` are scanned too; an empty table gives no rows; further columns are ignored; a text
+Defined cases: null and empty texts match nothing; every row is scanned on its own, those of a
+repeated or null ``doc_id`` too; an empty table gives no rows; further columns are ignored; a text
 that equals several known licences (they are equal in canonical form) takes the smallest name.
 """
 
@@ -20,7 +20,7 @@ from . import shared
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("copyright owner", "copyright holder"),
     ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("authorised", "authorized"), ("organisation", "organization"),
-    ("favour", "favor"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("merchantability", "merchantability"),
+    ("favour", "favor"), ("fulfilment", "fulfillment"), ("initialise", "initialize"),
     ("per cent", "percent"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"),
 )
 
@@ -88,13 +88,12 @@ def scan(docs: DataFrame, licenses=LICENSES, most_broadcast: int = 100_000) -> D
     """``doc_id, text_license, line_licenses, n_license_lines`` for every row."""
     known = known_digests(docs.sparkSession, licenses)
     hint = F.broadcast if len(licenses) <= most_broadcast else (lambda df: df)
-    canon = docs.select(F.col("doc_id"), canonical_lines(F.col("text")).alias("c"))
-    texts = canon.select("doc_id", F.md5(canonical(F.col("c"))).alias("digest"), F.posexplode(F.split("c", "\n")).alias("pos", "line"))
-    lines = texts.select("doc_id", "digest", "pos", F.trim("line").alias("line")).where("pos = 0 or line <> ''")
+    canon = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), canonical_lines(F.col("text")).alias("c"))
+    texts = canon.select("row", "doc_id", F.md5(canonical(F.col("c"))).alias("digest"), F.posexplode(F.split("c", "\n")).alias("pos", "line"))
+    lines = texts.select("row", "doc_id", "digest", "pos", F.trim("line").alias("line")).where("pos = 0 or line <> ''")
     lines = lines.join(hint(known.select(F.col("digest").alias("line_digest"), F.col("name").alias("line_name"))), F.md5("line") == F.col("line_digest"), "left").where("pos = 0 or line_name is not null")
-    rows = lines.groupBy("doc_id", "digest").agg(F.count_if(F.col("pos") == 0).alias("n"), F.count("line_name").alias("hits"), F.array_sort(F.collect_set("line_name")).alias("names"))
-    out = rows.join(hint(known), "digest", "left").select("doc_id", F.col("name").alias("text_license"), F.array_join("names", ",").alias("line_licenses"), (F.col("hits") / F.col("n")).cast("long").alias("n_license_lines"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    return out.drop("copy")
+    rows = lines.groupBy("row", "doc_id", "digest").agg(F.count("line_name").alias("hits"), F.array_sort(F.collect_set("line_name")).alias("names"))
+    return rows.join(hint(known), "digest", "left").select("doc_id", F.col("name").alias("text_license"), F.array_join("names", ",").alias("line_licenses"), F.col("hits").alias("n_license_lines"))
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -29,9 +29,10 @@ _BROADCAST_SPLITS = 1 << 20
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-def _tokenizers(json_path: str, ranks_path: str):
-    """The JSON tokenizer, and the faster library over the same vocabulary (as ranks)."""
-    if json_path not in _TOKENIZERS:
+def _tokenizers(json_path: str, ranks_path: str, control_as_text: bool):
+    """The JSON tokenizer, its control strings, and the faster library over the same vocabulary (as ranks)."""
+    key = json_path, ranks_path, control_as_text
+    if key not in _TOKENIZERS:
         import base64
 
         import public_tokenizers
@@ -39,20 +40,24 @@ def _tokenizers(json_path: str, ranks_path: str):
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(json_path)
-        exact.encode_special_tokens = True
+        exact.encode_special_tokens = control_as_text
+        control = () if control_as_text else tuple(t.content for t in exact.get_added_tokens_decoder().values())
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _TOKENIZERS[json_path] = exact, fast
-    return _TOKENIZERS[json_path]
+        _TOKENIZERS[key] = exact, control, fast
+    return _TOKENIZERS[key]
 
 
-def tokenize(text: str | None, json_path: str, ranks_path: str) -> np.ndarray:
-    """Ids of ``text`` as the JSON tokenizer gives them (control strings are ordinary text)."""
+def tokenize(text: str | None, json_path: str, ranks_path: str, control_as_text: bool = False) -> np.ndarray:
+    """Ids of ``text`` as the JSON tokenizer gives them without adding special tokens.
+
+    A control string inside a text becomes its control id, unless ``control_as_text`` is set.
+    """
     if not text:
         return np.zeros(0, np.uint32)
-    exact, fast = _tokenizers(json_path, ranks_path)
-    if text.isascii() or ord(max(text)) < _PLAIN:
+    exact, control, fast = _tokenizers(json_path, ranks_path, control_as_text)
+    if (text.isascii() or ord(max(text)) < _PLAIN) and not any(c in text for c in control):
         return np.asarray(fast.encode_ordinary(text), np.uint32)
     return np.asarray(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -61,7 +66,7 @@ _IDS = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()
 _IDS_DDL = "part long, doc_id long, n long, local long, ids binary"
 
 
-def _token_rows(json_path: str, ranks_path: str, end_id: int, flush: int = 8 << 20):
+def _token_rows(json_path: str, ranks_path: str, end_id: int, control_as_text: bool, flush: int = 8 << 20):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local = TaskContext.get().partitionId(), 0
         cols: list[list] = [[], [], [], []]
@@ -72,7 +77,7 @@ def _token_rows(json_path: str, ranks_path: str, end_id: int, flush: int = 8 <<
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(tokenize(text.as_py(), json_path, ranks_path), np.uint32(end_id)).astype("<u4")
+                ids = np.append(tokenize(text.as_py(), json_path, ranks_path, control_as_text), np.uint32(end_id)).astype("<u4")
                 # ids below 2**16 take two bytes
                 data = b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes()
                 for c, v in zip(cols, (doc, len(ids), local, data), strict=True):
@@ -115,14 +120,15 @@ def _pieces(size: int, with_ids: bool):
     return rows
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+@shared.tidied
+def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = 2048, end_id: int = 1, with_ids: bool = True, control_as_text: bool = False) -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
     Sequences hold ``size`` ids, gapless from 0; the last one is shorter and is the only one that a
     loader pads. ``ids`` is little-endian unsigned 32-bit, null without ``with_ids``.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = shared.written(source.mapInArrow(_token_rows(json_path, ranks_path, end_id), _IDS_DDL), "tokens")
+    tokens = shared.written(source.mapInArrow(_token_rows(json_path, ranks_path, end_id, control_as_text), _IDS_DDL), "tokens")
     totals = shared.written(tokens.groupBy("part").agg(F.sum("n").alias("total")), "totals")
     # one row an input split: a single ordered window over it stays small at any input size
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))

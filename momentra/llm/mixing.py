@@ -4,13 +4,20 @@ Token totals by (source, language, topic) are raked until their source, language
 meet the targets. A document is kept with its cell's probability, raked tokens over given tokens
 scaled so that the largest is 1; the draw is a digest of its id, so it never depends on the layout.
 
-The cell table has one row a combination of categories that occurs, whatever the number of documents;
-it is fitted as one small partition, a window sum a marginal and round.
+Targets are shares of tokens. Languages and topics have stated shares; sources, whose names differ
+from corpus to corpus, get their own share to a stated power, so that a source of a third of all
+tokens shrinks and small ones grow. The topic of a document is the one of which most phrases occur in
+its whole text.
+
+The cell table has one row a combination of categories that occurs, whatever the number of documents.
+Rounds end when all marginals meet their targets; if they can't (a target asks for what no document
+has), they end after ``rounds`` and ``fit`` tells the residual of each cell's categories.
 
 Defined cases: null text has no tokens; null source, language or topic is the category ''; a category
-without a target takes its smoothed share; a cell without tokens keeps its documents (they weigh
-nothing); equal ids draw alike; a null id draws as ''; an empty table gives no rows; ``sample`` passes
-further columns through.
+without a stated target keeps its own share in a column that states some; targets of categories that
+do not occur are left out and the others scaled to 1; a cell without tokens keeps its documents (they weigh nothing); equal
+ids draw alike; a null id draws as ''; an empty table gives no rows; ``sample`` passes further columns
+through.
 """
 
 from __future__ import annotations
@@ -22,23 +29,32 @@ from . import shared
 
 _NAMES = ("source", "lang", "topic")
 
-# Topics and the phrases (lower case) that tell them; the first topic that occurs counts.
+# Topics and the phrases (lower case) that tell them; more phrases win, the first of equals.
 TOPICS = (
-    ("legal", ("licensed under", "released under", "general public license", "copyright")),
-    ("table", (" | ",)),
-    ("contact", ("@", "http://", "https://")),
+    ("legal", ("licensed under", "released under", "general public license", "copyright", "warrant", "liabilit", "contract", "court")),
+    ("table", (" | ", "|--", "\t")),
+    ("contact", ("@", "http://", "https://", "www.")),
+    ("technology", ("software", "comput", "server", "database", "algorithm", "internet")),
+    ("science", ("experiment", "hypothes", "molecul", "physic", "galax", "theorem")),
+    ("health", ("patient", "hospital", "medic", "disease", "symptom", "vaccin")),
+    ("finance", ("invest", "market", "financ", "revenue", "inflation", "shareholder")),
+    ("news", ("president", "minister", "parliament", "election", "government", "police")),
 )
+#: Stated shares of tokens.
+TARGETS = {
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12},
+    "topic": {"prose": 0.9, "table": 0.04, "legal": 0.035, "contact": 0.02},
+}
 
 
 def topic_of(low: Column, topics=TOPICS) -> Column:
-    """The first topic of which a phrase occurs in the whole lower-case text, else 'prose'."""
+    """The topic of which most phrases occur in the whole lower-case text, 'prose' where none does."""
+    counts = [(name, sum((low.contains(p).cast("int") for p in phrases[1:]), low.contains(phrases[0]).cast("int"))) for name, phrases in topics]
+    best = F.greatest(*[c for _, c in counts], F.lit(0))
     out = F.lit("prose")
-    for name, phrases in reversed(topics):
-        some = low.contains(phrases[0])
-        for p in phrases[1:]:
-            some = some | low.contains(p)
-        out = F.when(some, F.lit(name)).otherwise(out)
-    return out
+    for name, c in reversed(counts):
+        out = F.when(c == best, F.lit(name)).otherwise(out)
+    return F.when(best == 0, F.lit("prose")).otherwise(out)
 
 
 def token_count(text: Column) -> Column:
@@ -48,31 +64,42 @@ def token_count(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(0).cast("long")
 
 
-def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.9, rounds: int = 40) -> DataFrame:
-    """Rakes ``cells (source, lang, topic, tokens)``: adds ``fitted``, whose marginals are the targets.
+def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.8, rounds: int = 60, tolerance: float = 1e-10, small: int = 200_000) -> DataFrame:
+    """Rakes ``cells (source, lang, topic, tokens)``: adds ``fitted``, whose marginals are the targets, and ``residual``.
 
-    A category's target share is ``targets[column][category]``, or else its share of tokens to the
-    ``power``; shares are scaled to 1 in each column.
+    A category's target share is ``targets[column][category]``, or else its share of tokens, to the
+    ``power`` in a column without any target; shares are scaled to 1 in each column. ``residual`` is the largest relative distance of
+    a cell's three marginals from their targets when the rounds ended. Up to ``small`` cells are one
+    partition, more are dealt by the category of each step.
     """
-    goal = cells.where("tokens > 0").coalesce(1)
-    total = F.sum("tokens").over(Window.partitionBy())
+    goal = cells.where("tokens > 0")
+    if goal.count() <= small:
+        goal = goal.coalesce(1)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    every = (Window.unboundedPreceding, Window.unboundedFollowing)
+    of = {name: Window.partitionBy(name).orderBy(*_NAMES).rowsBetween(*every) for name in _NAMES}
     for name in _NAMES:
-        own = F.sum("tokens").over(Window.partitionBy(name))
-        given = F.create_map(*[F.lit(x) for kv in ((targets or {}).get(name) or {"\0": 0.0}).items() for x in kv])
-        goal = goal.withColumn(f"raw_{name}", F.coalesce(F.try_element_at(given, F.col(name)), F.pow(own / total, F.lit(power))))
-        share = F.row_number().over(Window.partitionBy(name).orderBy(*_NAMES)) == 1
-        goal = goal.withColumn("first", share)
-        goal = goal.withColumn(f"goal_{name}", F.col(f"raw_{name}") / F.sum(F.when(F.col("first"), F.col(f"raw_{name}"))).over(Window.partitionBy()) * total)
-    fitted = goal.select(*_NAMES, "tokens", *[f"goal_{n}" for n in _NAMES], F.col("tokens").cast("double").alias("fitted"))
+        stated = (TARGETS if targets is None else targets).get(name) or {}
+        given = F.create_map(*[F.lit(x) for kv in (stated or {"\0": 0.0}).items() for x in kv])
+        shares = goal.groupBy(name).agg(F.sum("tokens").alias("own"))
+        shares = shares.select(name, F.coalesce(F.try_element_at(given, F.col(name)), F.pow(F.col("own") / total, F.lit(1.0 if stated else power))).alias("raw"))
+        whole = float(shares.agg(F.sum("raw")).first()[0] or 1)
+        goal = goal.join(shares.select(name, (F.col("raw") / whole * total).alias(f"goal_{name}")), name)
+    fitted = goal.select(*_NAMES, "tokens", *[f"goal_{n}" for n in _NAMES], F.col("tokens").cast("double").alias("fitted"), F.lit(0.0).alias("residual"))
+    distance = F.greatest(*[F.abs(F.sum("fitted").over(of[n]) / F.col(f"goal_{n}") - 1) for n in _NAMES])
     for n in range(rounds):
         for name in _NAMES:
-            fitted = fitted.withColumn("fitted", F.col("fitted") * F.col(f"goal_{name}") / F.sum("fitted").over(Window.partitionBy(name).orderBy(*_NAMES).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        if n % 5 == 4:
-            fitted = shared.written(fitted, "raked").coalesce(1)
+            fitted = fitted.withColumn("fitted", F.col("fitted") * F.col(f"goal_{name}") / F.sum("fitted").over(of[name]))
+        if n % 5 == 4 or n == rounds - 1:
+            before, fitted = fitted, shared.written(fitted.withColumn("residual", distance), "raked")
+            shared.forget(before)
+            if (fitted.agg(F.max("residual")).first()[0] or 0) <= tolerance:
+                break
     return fitted
 
 
-def probabilities(docs: DataFrame, targets=None, power: float = 0.9, rounds: int = 40, topics=TOPICS) -> DataFrame:
+@shared.tidied
+def probabilities(docs: DataFrame, targets=None, power: float = 0.8, rounds: int = 60, topics=TOPICS) -> DataFrame:
     """Every row with ``m_source, m_lang, m_topic, n_tokens, probability, selected`` appended."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = shared.free_name(docs, "low")
@@ -81,8 +108,8 @@ def probabilities(docs: DataFrame, targets=None, power: float = 0.9, rounds: int
     cells = told.groupBy(*[F.col(f"m_{n}").alias(n) for n in _NAMES]).agg(F.sum("n_tokens").alias("tokens"))
     cells = shared.written(cells, "cells")
     ratio = fit(cells, targets, power, rounds).withColumn("ratio", F.col("fitted") / F.col("tokens"))
-    ratio = ratio.select(*[F.col(n).alias(f"m_{n}") for n in _NAMES], F.round(F.col("ratio") / F.max("ratio").over(Window.partitionBy()), 9).alias("probability"))
-    ratio = shared.written(ratio, "probabilities")
+    most = ratio.agg(F.max("ratio")).first()[0] or 1.0
+    ratio = ratio.select(*[F.col(n).alias(f"m_{n}") for n in _NAMES], F.round(F.col("ratio") / most, 9).alias("probability"))
     if ratio.count() <= 200_000:  # a few dozen bytes a cell
         ratio = F.broadcast(ratio)
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -104,8 +131,16 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
-def _op4_sql(power: float = 0.9, rounds: int = 40) -> str:
-    case = " ".join(f"WHEN contains(lower(t), '{p}') THEN '{n}'" for n, ps in TOPICS for p in ps)
+def _op4_sql(power: float = 0.8, rounds: int = 60) -> str:
+    def quoted(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    def count(phrases):
+        return " + ".join(f"CAST(contains(low, {quoted(p) if p.isprintable() else f'chr({ord(p)})'}) AS INTEGER)" for p in phrases)
+
+    counts = ", ".join(f"{count(ps)} AS c{i}" for i, (_, ps) in enumerate(TOPICS))
+    best = f"greatest({', '.join(f'c{i}' for i in range(len(TOPICS)))})"
+    case = " ".join(f"WHEN c{i} = {best} THEN {quoted(n)}" for i, (n, _) in enumerate(TOPICS))
     steps = []
     last = "c0"
     for n in range(rounds):
@@ -113,12 +148,19 @@ def _op4_sql(power: float = 0.9, rounds: int = 40) -> str:
             now = f"c{n}_{name}"
             steps.append(f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, g_source, g_lang, g_topic, f * g_{name} / sum(f) OVER (PARTITION BY {name}) AS f FROM {last})")
             last = now
-    shares = " ".join(f"JOIN (SELECT {n}, r / sum(r) OVER () AS s FROM (SELECT {n}, pow(sum(tokens) / (SELECT sum(tokens) FROM cells), {power}) AS r FROM cells WHERE tokens > 0 GROUP BY {n})) AS t_{n} ON cells.{n} = t_{n}.{n}" for n in _NAMES)
+
+    def raw(name):
+        stated = " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in TARGETS.get(name, {}).items())
+        own = f"pow(sum(tokens) / (SELECT sum(tokens) FROM cells), {1.0 if stated else power})"
+        return f"CASE {name} {stated} ELSE {own} END" if stated else own
+
+    shares = " ".join(f"JOIN (SELECT {n}, r / sum(r) OVER () AS s FROM (SELECT {n}, {raw(n)} AS r FROM cells WHERE tokens > 0 GROUP BY {n})) AS t_{n} ON cells.{n} = t_{n}.{n}" for n in _NAMES)
     goals = ", ".join(f"t_{n}.s * (SELECT sum(tokens) FROM cells) AS g_{n}" for n in _NAMES)
     return rf"""
-WITH told AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {case} ELSE 'prose' END AS topic,
-    len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+WITH counted AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {counts}, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents)),
+told AS (SELECT doc_id, source, lang, CASE WHEN {best} = 0 THEN 'prose' {case} END AS topic, n_tokens FROM counted),
 cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM told GROUP BY ALL),
 c0 AS MATERIALIZED (SELECT cells.*, {goals}, tokens AS f FROM cells {shares} WHERE tokens > 0),
 {', '.join(steps)},

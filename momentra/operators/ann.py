@@ -1,4 +1,4 @@
-"""Approximate top-k by inner product: clustered cells, and random-projection buckets."""
+"""Centroids of a bounded sample and the scores of vectors against them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from .fusion import top_k
 
 
 def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -22,36 +21,7 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int
     return centers
 
 
-def _cell_scores(v: str, centers: np.ndarray):
+def cell_scores(v: str, centers: np.ndarray):
     """(score, cell) structs of a vector column against literal centroids."""
     each = [F.struct(dot(F.col(v), F.array(*map(F.lit, c.tolist()))).alias("s"), F.lit(i).alias("cell")) for i, c in enumerate(centers)]
     return F.array(*each)
-
-
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int, probes: int) -> DataFrame:
-    """Rows are dealt to their best cell; a query reads its ``probes`` best cells only (an equi-join on the cell)."""
-    centers = fit_cells(vectors, cells)
-    best = F.element_at(F.array_sort(_cell_scores("v", centers)), -1)["cell"]
-    index = vectors.select("global_id", "v", best.alias("cell"))
-    asked = queries.select("query_id", "qv", F.explode(F.slice(F.reverse(F.array_sort(_cell_scores("qv", centers))), 1, probes)).alias("p")).select("query_id", "qv", F.col("p.cell").alias("cell"))
-    hits = index.join(asked, "cell").select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score"))
-    return top_k(hits, k, ["query_id"])
-
-
-def projection_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 3, seed: int = 9) -> DataFrame:
-    """Candidates share the signs of ``bits`` random projections in one of ``tables`` tables."""
-    dim = vectors.select(F.size("v").alias("d")).first()["d"]
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-
-    def keys(v: str):
-        each = []
-        for t in range(tables):
-            code = F.lit(t * (1 << bits))
-            for b in range(bits):
-                code = code + F.when(dot(F.col(v), F.array(*map(F.lit, planes[t, b].tolist()))) > 0, 1 << b).otherwise(0)
-            each.append(code)
-        return F.explode(F.array(*each)).alias("key")
-
-    asked = queries.select("query_id", "qv", keys("qv"))
-    hits = vectors.select("global_id", "v", keys("v")).join(asked, "key").select("query_id", "global_id", dot(F.col("qv"), F.col("v")).alias("score")).distinct()
-    return top_k(hits, k, ["query_id"])

@@ -41,9 +41,8 @@ def bm25_score(t):
 
 @query("bm25_persisted", "SELECT query_id, key, round(score, 6) AS score FROM bm25")
 def bm25_persisted(t):
-    """The same scores from stored postings and statistics."""
-    posted = bm25.postings(t.text_docs)
-    return rounded(bm25.score_postings(posted, *bm25.statistics(posted), bm25.asked(t.asked_texts)))
+    """The same scores from the postings and statistics of the index on disk."""
+    return rounded(t.text_index().score(t.asked_texts))
 
 
 @query("bm25_inmemory", "SELECT query_id, key // 4 AS key, round(max(score), 6) AS score FROM bm25 GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ann, evaluate, fusion, greedy, rows
+from ..operators import evaluate, fusion, greedy, rows
 from .aggregates import _CONF, W, confidences, rounded
 from .base import query
 from .scans import _BOTH, both_runs
@@ -18,14 +18,14 @@ def dense_topk(t):
 
 @query("ann_topk_ivf")
 def ann_topk_ivf(t):
-    """Clustered search: nearest cells first, exact scores inside them."""
-    return rounded(ann.ivf_search(t.vectors, t.query_set(t.vectors), k=10, cells=8, probes=6)).select("query_id", "rank", "global_id", "score")
+    """Clustered search in the index on disk: nearest cells first, exact scores inside them."""
+    return rounded(t.vector_index().search(t.query_set(t.vectors), k=10, probes=6)).select("query_id", "rank", "global_id", "score")
 
 
 @query("ann_topk_hnsw")
 def ann_topk_hnsw(t):
-    """Graph search has no counterpart here: bucketed random projections give the candidates."""
-    return rounded(ann.projection_search(t.vectors, t.query_set(t.vectors), k=10)).select("query_id", "rank", "global_id", "score")
+    """Hierarchical graph search in the index on disk, block by block."""
+    return rounded(t.graph_index().search(t.query_set(t.vectors), k=10)).select("query_id", "rank", "global_id", "score")
 
 
 @query("final_rank", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitize_answer
 from ..functions.vectors import l2_normalize, norm
 from ..operators import bm25, rows
-from ..sources import files
+from ..sources import files, store
 from .base import query
 
 
@@ -143,18 +143,25 @@ def both_runs(t):
     return a.unionByName(b)
 
 
+def _stored(t, ranked):
+    """The lines of a submission as they are read back from its files."""
+    path = store.new_path(t.spark, "submission")
+    files.write_submission(ranked, path)
+    return files.read_submission(t.spark, path)
+
+
 @query("write_kis", f"""
 WITH {_BOTH}, firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame_idx ORDER BY rank) AS d FROM both_runs WHERE regexp_matches(video_id, '^[A-Z][0-9]{{2}}_V[0-9]{{3}}$') AND frame_idx >= 0)
 SELECT query_id, rank, video_id || ',' || frame_idx AS line FROM (SELECT query_id, video_id, frame_idx, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM firsts WHERE d = 1) WHERE rank <= 100""")
 def write_kis(t):
-    return files.submission_lines(rows.kis_rows(both_runs(t)).withColumn("frames", F.array("frame_idx")).drop("answer"))
+    return _stored(t, rows.kis_rows(both_runs(t)).withColumn("frames", F.array("frame_idx")).drop("answer"))
 
 
 @query("write_qa", f"""
 WITH {_BOTH}, firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id, frame_idx, lower(answer) ORDER BY rank) AS d FROM both_runs)
 SELECT query_id, rank, video_id || ',' || frame_idx || ',' || answer AS line FROM (SELECT query_id, video_id, frame_idx, answer, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM firsts WHERE d = 1) WHERE rank <= 100""")
 def write_qa(t):
-    return files.submission_lines(rows.qa_rows(both_runs(t)).withColumn("frames", F.array("frame_idx")))
+    return _stored(t, rows.qa_rows(both_runs(t)).withColumn("frames", F.array("frame_idx")))
 
 
 _CHAINS = "chains AS (SELECT query_id, rank, video_id, [frame_idx, frame_idx + 125 * (rank % 3), frame_idx + 250] AS frames FROM run_a)"
@@ -167,7 +174,7 @@ def chains(t):
 @query("write_trake", f"""
 WITH {_CHAINS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, video_id || ',' || array_to_string(frames, ',') AS line FROM chains WHERE frames[1] < frames[2] AND frames[2] < frames[3]""")
 def write_trake(t):
-    return files.submission_lines(rows.trake_rows(chains(t)))
+    return _stored(t, rows.trake_rows(chains(t)))
 
 
 @query("validate_submission", f"""
@@ -184,13 +191,17 @@ def validate_submission(t):
 
 @query("persist_text_index", "SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM post GROUP BY token")
 def persist_text_index(t):
-    return bm25.postings(t.text_docs).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    """What the text index on disk holds."""
+    return t.text_index().table("postings").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query("persist_vector_index", """
 SELECT 'L' || lane AS lane, count(*) AS count, dim, round(sum(first), 6) AS first_sum FROM (SELECT 64 AS lane, len(v) AS dim, v[1] AS first FROM vectors UNION ALL SELECT 32, len(v), v[1] FROM lane32) GROUP BY ALL""")
 def persist_vector_index(t):
-    lanes = t.vectors.select(F.lit("L64").alias("lane"), "v").unionByName(t.lane32.select(F.lit("L32").alias("lane"), "v"))
+    """What the published vector lanes hold."""
+    path = store.new_path(t.spark, "lanes")
+    store.publish(t.vectors.select(F.lit("L64").alias("lane"), "v").unionByName(t.lane32.select(F.lit("L32").alias("lane"), "v")), path)
+    lanes = store.read(t.spark, path)
     return lanes.groupBy("lane", F.size("v").alias("dim")).agg(F.count("*").alias("count"), F.round(F.sum(F.get("v", F.lit(0))), 6).alias("first_sum"))
 
 
@@ -198,8 +209,7 @@ def persist_vector_index(t):
 SELECT query_id, count(*) AS rows, sha256(string_agg(video_id || ',' || frame_idx, chr(10) ORDER BY rank)) AS sha256 FROM run_a GROUP BY query_id""")
 def package_manifest(t):
     lines = files.submission_lines(t.run("a").withColumn("frames", F.array("frame_idx")).drop("answer"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda r: r["line"]), "\n")  # at most 100 lines a query
-    return lines.groupBy("query_id").agg(F.count("*").alias("rows"), F.sha2(body, 256).alias("sha256"))
+    return files.package(t.spark, lines, store.new_path(t.spark, "package"))
 
 
 @query("dres_submit", "SELECT query_id, rank, CAST(round(frame_idx / 25.0::DOUBLE * 1000) AS BIGINT) AS time_ms FROM run_a WHERE rank = 1")
@@ -211,4 +221,21 @@ def dres_submit(t):
 def write_map_csv(t):
     w = Window.partitionBy("video_id")
     ok = t.catalog.withColumn("least", F.min("frame_idx").over(w)).where("least >= 0")
-    return ok.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "frame_idx"))), lambda r: F.concat_ws(",", r["n"], r["frame_idx"])), ";").alias("body"))
+    path = store.new_path(t.spark, "maps")
+    files.write_map_csv(ok, path)
+    back = files.read_maps(t.spark, path)
+    return back.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "frame_idx"))), lambda r: F.concat_ws(",", r["n"], r["frame_idx"])), ";").alias("body"))
+
+
+@query("atomic_write", "SELECT video_id, count(*) AS n FROM catalog GROUP BY video_id")
+def atomic_write(t):
+    """A published table after a writer of its next version has failed: readers still get the whole old one."""
+    path = store.new_path(t.spark, "published")
+    counts = t.catalog.groupBy("video_id").agg(F.count("*").alias("n"))
+    store.publish(counts, path)
+    try:
+        store.publish(counts.select("video_id", F.when(F.col("n") > 0, F.raise_error(F.lit("a writer fails"))).otherwise(F.col("n")).cast("bigint").alias("n")), path)
+    except Exception as failed:  # noqa: BLE001
+        if "a writer fails" not in str(failed):
+            raise
+    return store.read(t.spark, path)

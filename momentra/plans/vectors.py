@@ -98,7 +98,7 @@ SELECT query_id, rank, global_id, round(round(score, 9), 6) AS score FROM (SELEC
 def fuse_signals(t):
     """Fusion of dense, text and object signals, then consistency and neighbour boosts, then the cut."""
     top = t.lane_top("visual").select("query_id", F.col("global_id").alias("key"))
-    ocr = bm25.score(t.text_docs, t.asked_texts, top).select("query_id", F.lit("ocr").alias("signal"), F.col("key").alias("global_id"), "score")
+    ocr = t.text_index().score(t.asked_texts, top).select("query_id", F.lit("ocr").alias("signal"), F.col("key").alias("global_id"), "score")
     fused = t.with_video(fusion.weighted_sum(t.signals.unionByName(ocr), W | {"ocr": 0.35}))
     boosted = fusion.neighbor_boost(fusion.consistency_boost(fused)).withColumn("score", F.round("score", 9))
     return rounded(fusion.top_k(boosted, 120, ["query_id"])).select("query_id", "rank", "global_id", "score")

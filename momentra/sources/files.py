@@ -178,11 +178,24 @@ def write_submission(rows: DataFrame, path: str) -> None:
     lines.select("query_id", "line").write.partitionBy("query_id").text(path)
 
 
+def read_submission(spark: SparkSession, path: str) -> DataFrame:
+    """``query_id, rank, line`` of what ``write_submission`` has written."""
+    whole = spark.read.schema("value string, query_id long").text(path, wholetext=True)
+    lines = whole.select("query_id", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("pos", "line"))
+    return lines.select("query_id", (F.col("pos") + 1).alias("rank"), "line")
+
+
 def write_map_csv(rows: DataFrame, path: str) -> None:
-    """Maps as CSV; negative frames are refused before anything is written."""
+    """Maps as CSV with a header, one folder a video; negative frames are refused before anything is written."""
     if not rows.where("frame_idx < 0").isEmpty():
         raise ValueError("negative frame_idx")
-    rows.select("n", "pts_time", "fps", "frame_idx").write.option("header", True).csv(path)
+    maps = rows.select("video_id", "n", "pts_time", "fps", "frame_idx").repartition("video_id").sortWithinPartitions("video_id", "n")
+    maps.write.partitionBy("video_id").option("header", True).csv(path)
+
+
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    """``video_id, n, pts_time, fps, frame_idx`` of what ``write_map_csv`` has written."""
+    return spark.read.schema("n int, pts_time double, fps double, frame_idx long, video_id string").option("header", True).csv(path)
 
 
 def package(spark: SparkSession, lines: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, truncate
 from ..operators.fusion import top_k
+from . import store
 
 FRAMES = 20  # frames a video, as the embeddings table is bound
 
@@ -108,6 +109,22 @@ class Tables:
     def asked_texts(self) -> DataFrame:
         return self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
+    def text_index(self):
+        """The BM25 index of the documents, built where it is missing or stale."""
+        from ..operators.index import TextIndex
+
+        return TextIndex.ensure(self.text_docs, store.place(self.spark, "text-index", self.folder))
+
+    def vector_index(self, cells: int = 8):
+        from ..operators.index import VectorIndex
+
+        return VectorIndex.ensure(self.vectors.select("global_id", "v"), store.place(self.spark, "vector-index", self.folder), cells=cells)
+
+    def graph_index(self, block: int = 4096, m: int = 16):
+        from ..operators.index import GraphIndex
+
+        return GraphIndex.ensure(self.vectors.select("global_id", "v"), store.place(self.spark, "graph-index", self.folder), block=block, m=m)
+
     @property
     def text_docs(self) -> DataFrame:
         return self.raw("documents").select(F.col("doc_id").alias("key"), F.lit(0).alias("doc_no"), "text")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from momentra.functions import answers, parsing, text
-from momentra.operators import ann, evaluate, fusion, greedy, objects, rerank, rows, sequence
+from momentra.operators import evaluate, fusion, greedy, objects, rerank, rows, sequence
 from momentra.sources import files, providers
 from momentra.streaming import breaker
 
@@ -226,20 +226,6 @@ def test_greedy(spark):
     assert [r["global_id"] for r in out.orderBy("pos").collect()][:4] == [0, 1, 10, 11]
 
 
-def test_ann_recall(spark):
-    rng = np.random.default_rng(3)
-    centers = rng.normal(size=(8, 16))
-    x = np.array([centers[i % 8] + 0.3 * rng.normal(size=16) for i in range(400)])
-    v = frame(spark, [(i, r.tolist()) for i, r in enumerate(x)], "global_id long, v array<double>")
-    q = v.where("global_id < 10").select(F.col("global_id").alias("query_id"), F.col("v").alias("qv"))
-    exact = {i: set(np.argsort(-(x @ x[i]))[:10]) for i in range(10)}
-    for out in (ann.ivf_search(v, q, 10, 8, 4), ann.projection_search(v, q, 10)):
-        got = {}
-        for r in out.collect():
-            got.setdefault(r["query_id"], set()).add(r["global_id"])
-        assert np.mean([len(exact[i] & got[i]) / 10 for i in range(10)]) >= 0.9
-
-
 def test_zero_vector_scores_zero(spark):
     pool = frame(spark, [(0, 1, [1.0, 0.0]), (0, 2, [0.0, 0.0]), (0, 3, [0.6, 0.8])], "query_id long, global_id long, v array<double>")
     q = frame(spark, [(0, [1.0, 0.0])], "query_id long, qv array<double>")

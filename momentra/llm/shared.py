@@ -59,10 +59,10 @@ def tidied(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(build)
     def run(*args, **options):
-        before = len(_made)
+        before = set(_made)
         out = build(*args, **options)
         read = {part for f in out.inputFiles() for part in f.split("/")}
-        for path in _made[before:]:
+        for path in [p for p in _made if p not in before]:
             if path.rpartition("/")[2] not in read:
                 drop_path(out.sparkSession, path)
                 _made.remove(path)
@@ -71,6 +71,16 @@ def tidied(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` gives as a written table; every other table that was written for it is gone."""
+    before = set(_made)
+    out = written(build(), name)
+    for path in [p for p in _made[:-1] if p not in before]:
+        drop_path(out.sparkSession, path)
+        _made.remove(path)
+    return out
+
+
 def forget(table: DataFrame) -> None:
     """Removes a table that ``written`` gave and nothing reads any more."""
     read = {part for f in table.inputFiles() for part in f.split("/")}

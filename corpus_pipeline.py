@@ -6,6 +6,8 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read as the next one's input."""
-    docs = shared.table(spark, sf_dir, "documents")
+    docs, last = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = shared.settled(partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            shared.forget(last)  # its rows are in the next table
+        last = docs
     return docs

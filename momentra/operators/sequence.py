@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,35 +33,55 @@ def align(sims: DataFrame, n_events: int, max_gap: float, min_gap: float = 0.0,
     """Best chain of frames for every last frame: ``query_id, video_id, last, score, frames, sims``.
 
     ``sims (query_id, video_id, n, time, event_idx, sim)``. Event j extends chains of event j - 1 in
-    the same video by a later frame at most ``max_gap`` away; each step is a range join on the video
-    followed by a maximum with map-side combine. Equal predecessors: the latest frame wins. The score
+    the same video by a later frame at most ``max_gap`` away; each step joins on the video and a time
+    bin of that width (a frame's predecessors lie in its bin or the one before), followed by a maximum
+    with map-side combine, so work grows with a video's length times the gap. Equal predecessors: the latest frame wins. The score
     is the penalised total over the number of events; ``sims`` are the raw ones.
     """
     base = sims.where(F.col("sim") >= floor)
+    at = F.floor(F.col("time") / F.lit(max_gap * (1 + 1e-9) + 1e-9))
     now = base.where("event_idx = 0").select("query_id", "video_id", "n", "time", F.col("sim").alias("total"), F.array("n").alias("frames"), F.array("sim").alias("path"))
     for j in range(1, n_events):
-        step = base.where(F.col("event_idx") == j).select("query_id", "video_id", F.col("n").alias("n2"), F.col("time").alias("t2"), "sim")
-        pairs = now.join(step, ["query_id", "video_id"]).where((F.col("t2") > F.col("time")) & (F.col("t2") - F.col("time") >= min_gap) & (F.col("t2") - F.col("time") <= max_gap))
+        step = base.where(F.col("event_idx") == j).select("query_id", "video_id", F.col("n").alias("n2"), F.col("time").alias("t2"), "sim", at.alias("bin"))
+        before = now.withColumn("bin", F.explode(F.array(at, at + 1)))
+        pairs = before.join(step, ["query_id", "video_id", "bin"]).where((F.col("t2") > F.col("time")) & (F.col("t2") - F.col("time") >= min_gap) & (F.col("t2") - F.col("time") <= max_gap))
         gain = F.round(F.col("total") + F.lit(penalty) * F.col("time"), 9)  # equal sums stay equal
         best = pairs.groupBy("query_id", "video_id", "n2", "t2", "sim").agg(F.max_by(F.struct("total", "time", "frames", "path"), F.struct(gain.alias("g"), F.col("n"))).alias("b"))
         now = best.select("query_id", "video_id", F.col("n2").alias("n"), F.col("t2").alias("time"), (F.col("b.total") + F.col("sim") - F.lit(penalty) * (F.col("t2") - F.col("b.time"))).alias("total"), F.concat("b.frames", F.array("n2")).alias("frames"), F.concat("b.path", F.array("sim")).alias("path"))
     return now.select("query_id", "video_id", F.col("n").alias("last"), (F.col("total") / n_events).alias("score"), "frames", F.col("path").alias("sims"))
 
 
+def _best_before(time: np.ndarray, gain: np.ndarray, t2: np.ndarray, min_gap: float, max_gap: float) -> np.ndarray:
+    """For each of the ascending ``t2`` the largest gain of an earlier ascending ``time`` whose distance is allowed.
+
+    A queue of falling gains holds the window's candidates, so each frame enters and leaves it once.
+    """
+    out, queue, entered = np.full(len(t2), -np.inf), deque(), 0
+    for i, now in enumerate(t2):
+        while entered < len(time) and time[entered] < now and now - time[entered] >= min_gap:
+            while queue and gain[queue[-1]] <= gain[entered]:
+                queue.pop()
+            queue.append(entered)
+            entered += 1
+        while queue and now - time[queue[0]] > max_gap:
+            queue.popleft()
+        if queue:
+            out[i] = gain[queue[0]]
+    return out
+
+
 def align_grouped(sims: DataFrame, n_events: int, max_gap: float, min_gap: float = 0.0, floor: float = 0.1, penalty: float = 0.0005) -> DataFrame:
     """The same chains by a dynamic programme per (query, video): linear in a video's frames."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["sim"] >= floor].sort_values(["event_idx", "n"])
+        pdf = pdf[pdf["sim"] >= floor].sort_values(["event_idx", "time", "n"])
         layers = [g for _, g in pdf.groupby("event_idx")]
         if len(layers) < n_events:
             return pd.DataFrame({"query_id": [], "video_id": [], "last": [], "score": []}).astype({"query_id": "int64", "video_id": pdf["video_id"].dtype, "last": "int64", "score": "float64"})
         time, total = layers[0]["time"].to_numpy(), layers[0]["sim"].to_numpy()
         for g in layers[1:n_events]:
             t2, s2 = g["time"].to_numpy(), g["sim"].to_numpy()
-            gap = t2[:, None] - time[None, :]
-            ok = (gap > 0) & (gap >= min_gap) & (gap <= max_gap)
-            best = np.where(ok, total[None, :] - penalty * gap, -np.inf).max(1, initial=-np.inf)
+            best = _best_before(time, total + penalty * time, t2, min_gap, max_gap) - penalty * t2
             keep = np.isfinite(best)
             time, total, last = t2[keep], (best + s2)[keep], g["n"].to_numpy()[keep]
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "video_id": pdf["video_id"].iloc[0], "last": last, "score": total / n_events})

@@ -5,8 +5,12 @@ text, chunks ascend with ``doc_id``). Chunks enter in batches. A batch's windows
 and dealt by hash prefix; inside a prefix the sorted lists of the batch are merge-joined with the
 sorted immutable runs of earlier batches. A key is 64 hash bits; a match counts only once verified
 by a second, independent fingerprint. Keys seen in an earlier chunk or run go back to their chunk as
-a sorted list; the batch's new keys become one more run, and runs are compacted when there are more
-than ``fan_in``. The last step covers the words of matched windows, chunk by chunk.
+a sorted list; the batch's new keys become one more run. Runs are one table bucketed by prefix, so a
+merge reads them where they lie and only the batch is shuffled; ``fan_in`` runs of a level are
+compacted into one of the next. The last step covers the words of matched windows, chunk by chunk.
+
+``FingerprintIndex`` outlives a call: ``create`` one and pass its path to ``dedup`` with each day's
+documents, in any session. All that is in it counts as earlier than the documents of a call.
 
 No row is made per window: lists travel as delta-coded, compressed blobs of bounded size, and a
 passage that a third of all documents share costs one key a list.
@@ -19,9 +23,8 @@ words; an empty table gives no rows; further columns pass through ``cut`` untouc
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,9 @@ from . import shared
 from .hashing import Texts
 
 _CHUNK = 1 << 20
+#: Keys to a list: about four to each of its prefixes at least.
 _LIST = 1_000_000
+_MOST_BITS = 23
 #: Chunk rows to a Python batch: some megabytes.
 _ROWS = 16
 
@@ -121,7 +126,7 @@ def _lists(size: int, bits: int):
                     owners.append(np.full(len(pick), len(chunks), np.uint16))
                     chunks.append(chunk)
                     held += len(pick)
-                if held >= _LIST or len(chunks) >= 1 << 16:
+                if held >= max(_LIST, 4 << bits) or len(chunks) >= 1 << 16:
                     yield flush()
                     keys, checks, owners, chunks, held = [], [], [], [], 0
         if keys:
@@ -130,16 +135,14 @@ def _lists(size: int, bits: int):
     return rows
 
 
-def _merge(group: pd.DataFrame, keep_run: bool) -> Iterator[dict]:
+def _merge(lists: pd.DataFrame, runs: list[tuple[np.ndarray, np.ndarray]], keep_run: bool) -> Iterator[dict]:
     """Merge-joins one prefix's lists with its runs: keys for each chunk, and the new run."""
-    runs = [_expand(b, 1) for b in group["keys"][group["chunks"].isna()]]
     keys, checks, owners = [], [], []
-    for chunks, blob in zip(group["chunks"], group["keys"], strict=True):
-        if chunks is not None:
-            k, c, o = _expand(blob, 2)
-            keys.append(k)
-            checks.append(c)
-            owners.append(np.asarray(chunks, np.int64)[o])
+    for chunks, blob in zip(lists["chunks"], lists["keys"], strict=True):
+        k, c, o = _expand(blob, 2)
+        keys.append(k)
+        checks.append(c)
+        owners.append(np.asarray(chunks, np.int64)[o])
     if not keys:
         return
     k, c, o = np.concatenate(keys), np.concatenate(checks), np.concatenate(owners)
@@ -177,54 +180,95 @@ def _compact(group: pd.DataFrame) -> pd.DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of window keys in the shared folder, one Parquet table a run."""
+    """Immutable sorted runs of window keys under ``root``, which driver and executors share.
 
-    def __init__(self, spark: SparkSession, bits: int, fan_in: int):
-        self.spark, self.bits, self.fan_in = spark, bits, fan_in
-        self.root, self.runs, self.made = shared.new_path(spark, "fingerprints"), [], 0
+    ``root/keys`` is one table partitioned by run and bucketed by hash prefix, in which a batch's
+    matches are runs of another name until they have been used. ``root/log`` has a row for each
+    change: the runs that count from then on. A run that the last row does not name (its writer was
+    lost, or it was compacted) is no part of the index and goes when the index is opened.
+    """
 
-    def _path(self, kind: str) -> str:
+    def __init__(self, spark: SparkSession, root: str, size: int, bits: int, fan_in: int, runs: list[str], made: int):
+        self.spark, self.root, self.size, self.bits, self.fan_in, self.runs, self.made = spark, root, size, bits, fan_in, runs, made
+        self.buckets = 1 << min(max(0, bits - 2), 16)
+        self.table = f"fingerprints_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {self.table} (prefix INT, chunk BIGINT, keys BINARY, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (prefix) SORTED BY (prefix) INTO {self.buckets} BUCKETS LOCATION '{root}/keys'")
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, size: int = 13, bits: int = 12, fan_in: int = 3) -> FingerprintIndex:
+        """A new, empty index of windows of ``size`` words whose keys are dealt by ``bits`` bits."""
+        index = cls(spark, root.rstrip("/"), size, bits, fan_in, [], 0)
+        index._log()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index under ``root`` as its last completed change left it."""
+        root = root.rstrip("/")
+        last = spark.read.schema("made long, size int, bits int, fan_in int, runs array<string>").json(f"{root}/log/*").orderBy(F.desc("made")).first()
+        index = cls(spark, root, last["size"], last["bits"], last["fan_in"], list(last["runs"]), last["made"])
+        if shared.exists(spark, f"{root}/keys"):
+            spark.sql(f"MSCK REPAIR TABLE {index.table}")
+        index.drop([r[0].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {index.table}").collect() if r[0].partition("=")[2] not in index.runs])
+        return index
+
+    def _log(self) -> None:
         self.made += 1
-        return f"{self.root}/{kind}-{self.made}"
-
-    def add(self, chunks: DataFrame, size: int, keep_run: bool = True) -> str:
-        """Merges a batch; returns the path of its matches (chunk, keys). Later chunks must be larger."""
-        lists = chunks.mapInArrow(_lists(size, self.bits), "prefix int, chunks array<long>, keys binary")
-        rows = lists
-        for path in self.runs:
-            rows = rows.unionByName(self.read(path, True).select("prefix", F.lit(None).cast("array<long>").alias("chunks"), "keys"))
-
-        def merge(group: pd.DataFrame) -> pd.DataFrame:
-            prefix = group["prefix"].iloc[0]
-            out = pd.DataFrame(list(_merge(group, keep_run)), columns=["chunk", "keys"])
-            out["prefix"] = prefix
+        row = self.spark.createDataFrame([(self.made, self.size, self.bits, self.fan_in, self.runs)], "made long, size int, bits int, fan_in int, runs array<string>")
+        row.coalesce(1).write.json(f"{self.root}/log/{self.made}")
+
+    def read(self, runs: list[str]) -> DataFrame:
+        return self.spark.table(self.table).where(F.col("run").isin(runs))
+
+    def add(self, chunks: DataFrame, keep_run: bool = True) -> str:
+        """Merges a batch; returns the name of its matches. Later chunks must be larger."""
+        name, bits = f"{self.made + 1}", self.bits
+        lists = chunks.mapInArrow(_lists(self.size, bits), "prefix int, chunks array<long>, keys binary").repartition(self.buckets, "prefix")
+        shape = "prefix int, chunk long, keys binary"
+
+        def merge(lists: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+            out = pd.DataFrame(list(_merge(lists, [_expand(b, 1) for b in runs["keys"]], keep_run)), columns=["chunk", "keys"])
+            out.insert(0, "prefix", lists["prefix"].iloc[0] if len(lists) else 0)
             return out.astype({"chunk": "Int64"})
 
-        n = max(1 << min(self.bits, 16), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        merged = rows.repartition(n, "prefix").groupBy("prefix").applyInPandas(merge, "prefix int, chunk long, keys binary")
-        path = self._path("matches")
-        merged.withColumn("run", F.col("chunk").isNull()).write.partitionBy("run").parquet(path)
+        if self.runs:
+            runs = self.read(self.runs).select("prefix", "keys")
+            merged = lists.groupBy("prefix").cogroup(runs.groupBy("prefix")).applyInPandas(merge, shape)
+        else:
+            merged = lists.groupBy("prefix").applyInPandas(lambda lists: merge(lists, pd.DataFrame({"keys": []})), shape)
+        matches = f"matches.{name}"
+        merged.select("*", F.when(F.col("chunk").isNull(), f"0.{name}").otherwise(matches).alias("run")).write.insertInto(self.table)
         if keep_run:
-            self.runs.append(path)
-            if len(self.runs) > self.fan_in:
-                self.compact()
-        return path
-
-    def read(self, path: str, run: bool) -> DataFrame:
-        return self.spark.read.schema("prefix int, chunk long, keys binary, run boolean").parquet(path).where(F.col("run") == run).drop("run")
+            self.runs = [*self.runs, f"0.{name}"]
+            self._log()
+            self.compact()
+        else:
+            self.made += 1
+        return matches
 
     def compact(self) -> None:
-        """Merges all runs into one; the old ones go once the new one is complete."""
-        path = self._path("run")
-        runs = reduce(DataFrame.unionByName, (self.read(p, True) for p in self.runs)).select("prefix", "keys")
-        merged = runs.groupBy("prefix").applyInPandas(_compact, "prefix int, keys binary")
-        merged.select("prefix", F.lit(None).cast("long").alias("chunk"), "keys", F.lit(True).alias("run")).write.partitionBy("run").parquet(path)
-        old, self.runs = self.runs, [path]
-        self.drop(old)
-
-    def drop(self, paths: list[str]) -> None:
-        for p in paths:
-            shared.drop_path(self.spark, f"{p}/run=true")
+        """Merges the runs of a level that has ``fan_in`` of them into one of the next level; old ones go once it is complete."""
+        for level in range(64):
+            old = [r for r in self.runs if r.startswith(f"{level}.")]
+            if len(old) < self.fan_in:
+                return
+            name = f"{level + 1}.{self.made + 1}"
+            merged = self.read(old).select("prefix", "keys").groupBy("prefix").applyInPandas(_compact, "prefix int, keys binary")
+            merged.select("prefix", F.lit(None).cast("long").alias("chunk"), "keys", F.lit(name).alias("run")).write.insertInto(self.table)
+            self.runs = [*(r for r in self.runs if r not in old), name]
+            self._log()
+            self.drop(old)
+
+    def drop(self, runs: list[str]) -> None:
+        for r in runs:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (run = '{r}')")
+            shared.drop_path(self.spark, f"{self.root}/keys/run={r}")
+
+    def close(self, delete: bool = False) -> None:
+        """Forgets the session's table; the index stays under its root unless ``delete``."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if delete:
+            shared.drop_path(self.spark, self.root)
 
 
 def _cover(texts: Texts, ids: list, matched: np.ndarray, size: int) -> np.ndarray:
@@ -282,26 +326,28 @@ def _apply(size: int, with_text: bool):
     return rows
 
 
-@contextmanager
-def _small_batches(spark: SparkSession):
-    """A few chunk rows to a Python batch, not ten thousand, while the jobs inside run."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` that sends a few chunk rows to a Python batch, not ten thousand."""
+    own = spark.newSession()
+    for row in spark.sql("SET").collect():
+        if row["key"].startswith("spark.sql.") and spark.conf.isModifiable(row["key"]):
+            own.conf.set(row["key"], row["value"])
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
+    return own
 
 
-def dedup(docs: DataFrame, size: int = 13, cuts: tuple = (0.25,), fan_in: int = 4, prefix_bits: int | None = None, chunk_bytes: int = _CHUNK, carry: tuple = (), with_text: bool = True) -> DataFrame:
+def dedup(
+    docs: DataFrame, size: int = 13, cuts: tuple = (0.15, 0.3, 0.5), fan_in: int = 3, prefix_bits: int | None = None, chunk_bytes: int = _CHUNK,
+    carry: tuple = (), with_text: bool = True, index: str | None = None,
+) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept, rest`` for every row.
 
     ``kept`` is the text left (null without ``with_text``) and ``rest`` a struct of the ``carry``
-    columns, as ``c0``, ``c1``, ... ``cuts`` are the shares of the id ranges at which a batch ends; the
-    last batch needs no run, so a small first one keeps the runs (written once, merged once) small.
-    ``prefix_bits`` deals the keys to ``2 ** prefix_bits`` merges; by default a merge gets the keys of
-    about 4 MB of text (of more beyond a terabyte, so that lists keep enough keys a row).
+    columns, as ``c0``, ``c1``, ... ``cuts`` are the shares of the id ranges at which a batch ends.
+    With the path of an ``index`` (whose window size and bits then count), windows that it holds are
+    removed too, and those of ``docs`` are added; ids should ascend from call to call. Without one, an
+    index serves this call alone. ``prefix_bits`` deals its keys to ``2 ** prefix_bits`` merges; by default a merge
+    gets the keys of about 4 MB of text.
     """
     spark = docs.sparkSession
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -314,28 +360,36 @@ def dedup(docs: DataFrame, size: int = 13, cuts: tuple = (0.25,), fan_in: int =
     rows.write.option("compression", "zstd").parquet(path)
     del ranged, rows
     shared.release(spark)
-    chunks = spark.read.schema(shape).parquet(path)
-    if prefix_bits is None:
-        prefix_bits = min(18, max(6, (chunks.count() * chunk_bytes // (4 << 20)).bit_length()))
-    index = FingerprintIndex(spark, prefix_bits, fan_in)
+    own = _own_session(spark)
+    chunks = own.read.schema(shape).parquet(path)
+    lasting = index is not None
+    if lasting:
+        index = FingerprintIndex.open(own, index)
+    else:
+        if prefix_bits is None:
+            prefix_bits = min(_MOST_BITS, max(6, (chunks.count() * chunk_bytes // (4 << 20)).bit_length()))
+        index = FingerprintIndex.create(own, shared.new_path(spark, "fingerprints"), size, prefix_bits, fan_in)
     found = []
     edges = [0, *(round(parts * c) for c in cuts), parts]
-    with _small_batches(spark):
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            batch = chunks.select("chunk", "ids", "texts").where((F.col("chunk") >= low << 24) & (F.col("chunk") < high << 24))
-            found.append(index.add(batch, size, keep_run=high < parts))
-            del batch
-            shared.release(spark)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        batch = chunks.select("chunk", "ids", "texts").where((F.col("chunk") >= low << 24) & (F.col("chunk") < high << 24))
+        found.append(index.add(batch, keep_run=lasting or high < parts))
+        del batch
+        shared.release(spark)
+    if not lasting:
         index.drop(index.runs)
-        # at most one list a chunk, prefix and batch: a chunk's lists are bounded by its own windows
-        matches = reduce(DataFrame.unionByName, (index.read(p, False) for p in found)).groupBy("chunk").agg(F.collect_list("keys").alias("found"))
-        joined = chunks.join(matches, "chunk", "left").select("ids", "texts", "rest", "found")
-        out = shared.written(joined.mapInArrow(_apply(size, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rest {kind}"), "deduped")
-        del matches, joined
+    # at most one list a chunk, prefix and batch: a chunk's lists are bounded by its own windows
+    matches = index.read(found).groupBy("chunk").agg(F.collect_list("keys").alias("found"))
+    joined = chunks.join(matches, "chunk", "left").select("ids", "texts", "rest", "found")
+    shape = f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, rest {kind}"
+    made = shared.new_path(spark, "deduped")
+    joined.mapInArrow(_apply(index.size, with_text), shape).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(made)
+    del matches, joined
+    index.drop(found)
+    index.close(delete=not lasting)
     shared.drop_path(spark, path)
-    shared.drop_path(spark, index.root)
     shared.release(spark)
-    return out
+    return spark.read.schema(shape).parquet(made)
 
 
 def cut(docs: DataFrame, **options) -> DataFrame:

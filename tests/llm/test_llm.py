@@ -74,6 +74,13 @@ def test_license_scan(spark):
     assert license_scan.scan(odd(spark)).count() == len(ODD) and license_scan.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_license_rows_of_one_id_stay_apart(spark):
+    text = "foo\nReleased under the MIT License.\nbar"
+    rows = [(1, text), (1, text.replace("\n", " ")), (None, text), (None, "x"), (1, text)]
+    got = sorted(((r["doc_id"], r["line_licenses"], r["n_license_lines"]) for r in license_scan.scan(frame(spark, rows)).collect()), key=str)
+    assert got == [(1, "", 0), (1, "MIT", 1), (1, "MIT", 1), (None, "", 0), (None, "MIT", 1)]
+
+
 @pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0")])
 def test_entire_licenses(spark, file, name):
     path = pathlib.Path("/usr/share/common-licenses", file)
@@ -99,8 +106,7 @@ def test_packing_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = dict(zip(documents.doc_id, documents.text, strict=True)) | {-1: None, -2: "", -3: "日本語 <|endoftext|> \U0001f600 ẞ", -4: " a " * 3000}
+    texts = dict(zip(documents.doc_id, documents.text, strict=True)) | {-1: None, -2: "", -3: "日本語 <|endoftext|> \U0001f600 ẞ", -4: " a " * 3000, -5: "a <|endoftext|> b<|endoftext|>"}
     df = frame(spark, [(int(k), v) for k, v in texts.items()])
     p = _pack(df).toPandas()
     for doc, own in p.sort_values("start").groupby("doc_id"):
@@ -114,6 +120,17 @@ def test_packing_round_trip(spark, documents):
         assert own.length.sum() == 2048 or seq == p.sequence_id.max()
 
 
+def test_control_strings_as_text():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P("byte_bpe_50k.json"))
+    text = "a <|endoftext|> b"
+    files = P("byte_bpe_50k.json"), P("byte_bpe_50k.tiktoken")
+    assert packing.tokenize(text, *files).tolist() == tok.encode(text, add_special_tokens=False).ids
+    tok.encode_special_tokens = True
+    assert packing.tokenize(text, *files, control_as_text=True).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd_input(spark):
     p = _pack(odd(spark)).toPandas()
     assert p.doc_id.isna().sum() == 1 and (p[p.doc_id == 4].start == 0).sum() == 2
@@ -130,9 +147,9 @@ def test_multi_sequence_walk_is_ordered():
     assert len(ann.traverse(left, right, np.ones(30, int), 7)) == 7
 
 
-def test_ann_against_brute_force(spark):
-    out = ann.op3_ann(spark, FOLDER).toPandas()
-    e = spark.read.parquet(f"{FOLDER}/embeddings.parquet").toPandas().sort_values("vec_id")
+def _recall(spark, folder):
+    out = ann.op3_ann(spark, folder).toPandas()
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas().sort_values("vec_id")
     x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
     recall = []
     for q, own in out.groupby("query_id"):
@@ -142,7 +159,30 @@ def test_ann_against_brute_force(spark):
         assert np.array_equal(own.score, s[np.searchsorted(ids, own.vec_id)])
         want = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
         recall.append(len(set(ids[want]) & set(own.vec_id)) / 20)
-    assert len(recall) == 25 and np.mean(recall) >= 0.9
+    assert len(recall) == (ids % 20 == 0).sum()
+    return np.mean(recall)
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
+def test_ann_against_brute_force(spark, folder):
+    assert _recall(spark, folder) >= 0.9
+
+
+def test_ann_tiles_hold_all_cells():
+    counts = np.array([3, 0, 25, 4, 4, 4, 10, 1])
+    first, parts = ann.tiles(counts, 10)
+    assert parts.tolist() == [1, 1, 3, 1, 1, 1, 1, 1] and first.tolist() == [0, 0, 1, 4, 4, 5, 6, 7]
+
+
+def test_ann_finds_all_whatever_the_tiles(spark):
+    x = np.random.default_rng(5).normal(size=(300, 6))
+    v = spark.createDataFrame([(i, r.tolist(), "t", "p", 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, tile string, part string, cell long").repartition(3)
+    s = ann.exact_scores(x, x)
+    for block, together in ((7, 2), (64, 10), (10_000, 1000)):
+        got = ann.search(v, F.col("vec_id") % 3 == 0, k=4, centroids=3, visit=1.0, block=block, together=together).toPandas()
+        assert len(got) == 400
+        for q, own in got.groupby("query_id"):
+            assert own.sort_values("rank").vec_id.tolist() == [i for i in np.lexsort((np.arange(300), -s[q])) if i != q][:4]
 
 
 def test_ann_odd_vectors_and_ties(spark):
@@ -178,8 +218,36 @@ def test_raked_marginals_meet_targets(spark):
         assert fitted.groupby(name).fitted.sum().div(total).to_dict() == pytest.approx(want, abs=1e-9)
 
 
+def test_raking_tells_unreachable_targets(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("b", "fr", "x", 300)], "source string, lang string, topic string, tokens long")
+    got = mixing.fit(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "fr": 0.1, "de": 7.0}}, rounds=20).toPandas()
+    assert got.residual.min() > 0.5  # a is en alone, so its share can't be 0.5 and 0.9
+    fine = mixing.fit(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "fr": 0.5}}).toPandas()
+    assert fine.residual.max() < 1e-9 and fine.fitted.tolist() == pytest.approx([200, 200])
+    many = mixing.fit(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "fr": 0.5}}, small=0).toPandas()
+    assert many.sort_values("source").fitted.tolist() == pytest.approx([200, 200])
+
+
+def test_topic_with_most_phrases_wins(spark):
+    texts = ["the court heard of the contract for software", "a server and its database, by contract", "nothing", None, "a | b @ c"]
+    got = [r[0] for r in frame(spark, [*enumerate(texts)]).select(mixing.topic_of(F.lower(F.coalesce("text", F.lit(""))))).collect()]
+    assert got == ["legal", "technology", "prose", "prose", "table"]
+
+
+def test_sampled_marginals_meet_stated_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    out = mixing.probabilities(docs, F.col("doc_id")).toPandas()
+    out["w"] = out.n_tokens * out.probability
+    for name in ("lang", "topic"):
+        got = out.groupby(name).w.sum() / out.w.sum()
+        stated = mixing.TARGETS[name]
+        rest = out[~out[name].isin(stated)].n_tokens.sum() / out.n_tokens.sum()
+        for category, share in stated.items():
+            assert got[category] == pytest.approx(share / (sum(stated.values()) + rest), rel=0.01)
+
+
 def test_mixing_odd_input(spark):
-    out = mixing.probabilities(odd(spark).drop("m_source")).toPandas()
+    out = mixing.probabilities(odd(spark), F.col("doc_id")).toPandas()
     assert len(out) == len(ODD) and out.probability.between(0, 1).all() and out.probability.max() == 1
     assert mixing.sample(odd(spark)).columns == odd(spark).columns
     assert mixing.sample(odd(spark).limit(0)).count() == 0
@@ -204,7 +272,7 @@ def _substring_truth(rows, size=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"cuts": (0.2, 0.4, 0.6, 0.8), "fan_in": 1, "prefix_bits": 3, "chunk_bytes": 20_000}])
+@pytest.mark.parametrize("options", [{}, {"cuts": (0.2, 0.4, 0.6, 0.8), "fan_in": 2, "prefix_bits": 3, "chunk_bytes": 20_000}])
 def test_substring_dedup_against_brute_force(spark, documents, options):
     rows = [*zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True)]
     passage = " ".join(f"p{i}" for i in range(60))
@@ -214,6 +282,24 @@ def test_substring_dedup_against_brute_force(spark, documents, options):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == _substring_truth([*rows, *ODD])
 
 
+def test_substring_index_outlives_a_call(spark, documents, tmp_path):
+    rows = sorted(zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True))
+    half, root = len(rows) // 2, f"{tmp_path}/index"
+    substring_dedup.FingerprintIndex.create(spark, root, bits=4, fan_in=2).close()
+    got = []
+    for part in (rows[:half], rows[half:]):
+        got += [tuple(r) for r in substring_dedup.dedup(frame(spark, part), cuts=(0.5,), index=root).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == _substring_truth(rows)
+    index = substring_dedup.FingerprintIndex.open(spark, root)
+    assert len(index.runs) == 1 and index.runs[0].startswith("2.")  # four batches, compacted twice
+    kept = index.read(index.runs).count()
+    spark.range(5).select(F.lit(0).alias("prefix"), F.lit(None).cast("long").alias("chunk"), F.lit(b"half a run").alias("keys"), F.lit("0.99").alias("run")).write.insertInto(index.table)
+    index.close()
+    again = substring_dedup.FingerprintIndex.open(spark, root)  # a run that was never logged is no part of it
+    assert again.read(again.runs).count() == kept and spark.table(again.table).count() == kept
+    again.close(delete=True)
+
+
 def test_substring_kept_text_keeps_spacing(spark):
     passage = " ".join(f"p{i}" for i in range(13))
     df = frame(spark, [(1, passage), (2, f"before  it\n{passage}\nafter   it\n")])
@@ -286,6 +372,30 @@ def test_near_dups_against_brute_force(spark, documents):
     assert got == _classes(_bags(rows))
 
 
+def test_near_dups_of_a_repeated_id(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(f"{n}{i}" for i in rng.integers(0, 9999, 60)) for n in "abc")
+    rows = [(5, a), (5, b), (5, c), (7, b + " tail"), (8, c + " end"), (9, "on its own and not like any other")]
+    for part in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dups(frame(spark, part)).collect()}
+        assert got == {5: 5, 7: 5, 8: 5, 9: 9}
+
+
+def test_near_dups_in_buckets_of_unlike_members(spark):
+    # bands of one component: most buckets hold hundreds of texts that share a passage and are no copies
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for k in range(300):
+        own = [f"w{i}" for i in rng.integers(0, 50_000, 60)]
+        rows.append((k, passage + " " + " ".join(own)))
+        if k % 3 == 0:  # a copy that is like this one and no other
+            own[30:33] = ["x", "y", "z"]
+            rows.append((1000 + k, passage + " " + " ".join(own)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dups(frame(spark, rows), bands=12, rows=1).collect()}
+    assert got == _classes(_bags(rows)) and sum(d != c for d, c in got.items()) == 100
+
+
 def test_near_dups_odd_input(spark):
     got = near_dedup.near_dups(odd(spark)).toPandas()
     assert len(got) == len(ODD) and got[got.doc_id == 9].class_id.tolist() == [8] and got.class_id.isna().sum() == 1
@@ -301,21 +411,54 @@ def test_components_of_paths_and_stars(spark):
 
 
 # -- 7 toxicity -------------------------------------------------------------------------------
+def test_composed_table_equals_the_cascade():
+    rng = np.random.default_rng(0)
+    for n in range(4000):
+        symbols = "".join(rng.choice(list(toxicity.SYMBOLS), n % 15))
+        text, weight = list(symbols), np.ones(len(symbols))
+        for t in toxicity.CASCADE:  # brute force: one transducer after the other over the whole string
+            out = t.run(text)
+            text, weight = [o for o, _ in out], weight * [w for _, w in out]
+        state, got = 0, []
+        for x in symbols:
+            got.append(toxicity.EMIT[state][x])
+            state = toxicity.STEP[state][x]
+        assert got == pytest.approx([w if o == "+" else 0 for o, w in zip(text, weight, strict=True)])
+
+
+def test_compose_multiplies_weights():
+    a = toxicity.Transducer({(0, "x"): ("y", 2.0, 1), (1, "x"): ("x", 1.0, 0)})
+    b = toxicity.Transducer({(0, "y"): ("z", 3.0, 1), (1, "x"): ("w", 5.0, 1)})
+    assert toxicity.compose(a, b, "x").run("xxx") == [("z", 6.0), ("w", 5.0), ("y", 2.0)]
+
+
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar({"idiot$": 2.0, "moro": 1.0})
-    one = lambda t: [*g.clauses(toxicity._TOKEN.findall(t))]
-    assert one("you idiot. fine day") == [2.5] and one("a morose idiot") == [3.0]
-    assert one("not idiot") == [pytest.approx(1.2)] and one("said idiot") == [pytest.approx(1.2)] and one("nothing") == []
+    g = toxicity.Grammar({"idiot$": 3.0, "moro": 1.0, "scum$": 5.0})
+    one = lambda t: [round(x, 6) for x in g.clauses("".join(map(g._symbols.__getitem__, toxicity._TOKEN.findall(t))))]
+    assert one("fine idiot. fine day") == [3.5] and one("scum and a morose idiot") == [round(5 + 1.1 * (2.2 + 3.5), 6)]
+    assert one("you idiot") == [4.375] and one("idiot that you are") == [4.0]
+    assert one("not an idiot") == [1.4] and one("not, idiot") == [3.5] and one("not of the same idiot") == [3.5]
+    assert one("he said idiot") == [2.1875] and one("said, idiot") == [3.5] and one("said. idiot") == [3.5]
+    assert one("i will kill you") == [3.0] and one("kill time") == [] and one("kill or not to kill them") == [1.2]
+    assert one("they told you so") == [] and one("") == []
 
 
 def test_toxicity_held_out(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     out = toxicity.op7_toxicity(spark, folder).toPandas()
     lab = spark.read.parquet(f"{folder}/labels.parquet").toPandas()
     assert out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.5)).all()
     assert (out.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in out.doc_id]).all()
     held = out[out.held_out].merge(lab, on="doc_id")
-    assert (held.predicted == held.toxic).mean() > 0.9
+    assert held[held.toxic == 1].predicted.mean() > 0.9 and held[held.toxic == 0].predicted.mean() < 0.01
+
+
+def test_stem_counts_against_brute_force(spark):
+    rows = [("Vile worm, vile!", 1, 0), ("a vile day", 0, 0), ("worms worm", 1, 1), (None, 1, 1)]
+    counted = frame(spark, rows, "text string, toxic int, half int").repartition(2).mapInPandas(toxicity._stem_counts, "stem string, toxic int, half int, n long, docs long")
+    got = {(r["stem"], r["toxic"], r["half"]): (r["n"], r["docs"]) for r in counted.groupBy("stem", "toxic", "half").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()}
+    assert got["vile", 1, 0] == (2, 1) and got["vile", 0, 0] == (1, 1) and got["worm", 1, 1] == (2, 1) and got["worm$", 1, 1] == (1, 1)
+    assert got["", 1, 0] == (3, 1) and ("day$", 0, 0) in got and ("day", 0, 0) not in got
 
 
 def test_toxicity_odd_input(spark):
@@ -327,6 +470,8 @@ def test_toxicity_odd_input(spark):
     two = toxicity.score(frame(spark, [(1, "you vile worm"), (2, "a calm day")]), g, b).toPandas().set_index("doc_id").score
     assert two[1] > 0.5 > two[2]
     assert toxicity.fit(docs, labels.where("toxic = 0"))[0].stems == {}
+    twice = labels.unionByName(labels.select("doc_id", F.lit(0).alias("toxic"))).unionByName(labels.select("doc_id", F.lit(None).cast("int").alias("toxic")))
+    assert toxicity.fit(docs, twice)[0].stems == g.stems  # the largest label counts
     assert toxicity.score(odd(spark).limit(0), g, b).count() == 0
 
 
@@ -334,7 +479,7 @@ def test_toxicity_odd_input(spark):
 def test_quality_counts_against_brute_force(spark, documents):
     rows = [*zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True), *[(r[0] and 10_000 + r[0], r[1]) for r in ODD if r[0] != 4]]
     df = frame(spark, rows).withColumn("lang", F.lit("en"))
-    got = {r["doc_id"]: r for r in quality.judged(df).select("row.doc_id", "*").drop("row").collect()}
+    got = {r["doc_id"]: r for r in quality.judged(df, F.col("doc_id")).withColumnRenamed("row", "doc_id").collect()}
     for d, t in rows:
         t = t or ""
         w = SPACE.findall(t)
@@ -350,14 +495,30 @@ def test_quality_counts_against_brute_force(spark, documents):
 def test_quality_odd_input(spark):
     out = quality.filtered(odd(spark))
     assert out.columns == odd(spark).columns
-    assert quality.judged(odd(spark)).count() == len(ODD) and quality.judged(odd(spark).limit(0)).count() == 0
+    assert quality.judged(odd(spark), F.col("doc_id")).count() == len(ODD) and quality.judged(odd(spark).limit(0), F.col("doc_id")).count() == 0
+
+
+def test_quality_references_are_of_fit_documents_and_can_be_stored(spark):
+    prose = "The house of the man is in the town, and it was sold to a friend with a garden that he liked. "
+    good = [(i, " ".join(f"{w}{i % 7}{k}" if len(w) > 4 else w for k, w in enumerate((prose * 8).split()))) for i in range(20)]
+    junk = [(100 + i, " ".join(f"###{i}_{k}" for k in range(150))) for i in range(60)]
+    repeats = [(200 + i, "a$b " * 500) for i in range(60)]
+    df = frame(spark, good + repeats).withColumn("lang", F.lit("en"))
+    refs = quality.references(quality.features(df, F.col("doc_id")))
+    alone = quality.references(quality.features(df.where("doc_id < 100"), F.col("doc_id")))
+    assert refs.collect() == alone.collect()  # what fails the base rules has no part in them
+    mostly_junk = frame(spark, good + junk).withColumn("lang", F.lit("en"))
+    kept = {r[0] for r in quality.judged(mostly_junk, F.col("doc_id"), stored=alone).where("kept").select("row").collect()}
+    assert kept == {d for d, _ in good}
 
 
 def test_quality_keeps_prose_and_rejects_symbols(spark):
     prose = "The house of the man is in the town, and it was sold to a friend with a garden that he liked. "
-    df = frame(spark, [(i, " ".join(f"{w}{i}" if len(w) > 4 else w for w in (prose * 8).split())[: 500 + i]) for i in range(40)] + [(99, " ".join(f"a{i}###$$$" for i in range(90)))]).withColumn("lang", F.lit("en"))
-    got = {r["doc_id"]: r for r in quality.judged(df).select("row.doc_id", "*").drop("row").collect()}
+    long = [(i, " ".join(f"{w}{i % 7}{k}" if len(w) > 4 else w for k, w in enumerate((prose * (7 + i % 3)).split()))) for i in range(40)]
+    df = frame(spark, long + [(99, " ".join(f"a{i}###$$$" for i in range(90)))]).withColumn("lang", F.lit("en"))
+    got = {r["doc_id"]: r for r in quality.judged(df, F.col("doc_id")).withColumnRenamed("row", "doc_id").collect()}
     assert not got[99]["kept"] and not got[99]["base_failed"]
+    assert all(got[i]["kept"] for i in range(40))
 
 
 # -- 9 sharding -------------------------------------------------------------------------------
@@ -375,17 +536,32 @@ def test_shards_fit_and_only_large_buckets_split(spark, documents):
 
 
 def test_sharding_odd_input(spark):
-    many = frame(spark, [(5, "x" * 600)] * 10 + [(6, "y" * 5000), (None, None), (None, "z")])
+    many = frame(spark, [(5, "x" * 600)] * 10 + [(5, "x" * 90)] * 40 + [(6, "y" * 5000), (None, None), (None, "z")])
     out = sharding.assign(many, 1000).toPandas()
-    sizes = out.groupby(["depth", "shard", "page"], dropna=False).n_bytes.sum()
-    assert len(out) == 13 and sizes.drop(sizes[sizes == 5000].index).max() <= 1600
+    sizes = out.groupby(["depth", "shard", "page"], dropna=False).n_bytes.agg(["sum", "count"])
+    assert len(out) == 53 and ((sizes["sum"] <= 1000) | (sizes["count"] == 1)).all() and (sizes["sum"] > 1000).sum() == 1
+    assert (out.shard_bytes == out.merge(sizes.reset_index(), on=["depth", "shard", "page"])["sum"]).all()
+    three = sharding.assign(frame(spark, [(1, "a" * 60)] * 3), 100).toPandas()
+    assert three.shard_bytes.tolist() == [60] * 3 and len(set(zip(three.depth, three.shard, three.page, strict=True))) == 3
     assert sharding.assign(odd(spark)).count() == len(ODD) and sharding.assign(odd(spark).limit(0)).count() == 0
 
 
+def _bytes_on_disk(spark, path, names):
+    stored = spark.read.parquet(path)
+    return {tuple(r[n] for n in names): (r["n"], r["c"]) for r in stored.groupBy(*names).agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("c")).collect()}
+
+
 def test_write_shards(spark, documents, tmp_path):
-    df = frame(spark, [*zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True)]).withColumn("depth", F.lit("clash"))
-    sharding.write_shards(df, str(tmp_path / "s"), 50_000)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(documents)
+    rows = [*zip(documents.doc_id.tolist(), documents.text.tolist(), strict=True), *[(3, "z" * 9_000)] * 30]
+    df = frame(spark, rows)
+    for c in ("depth", "shard", "page", "Shard_Depth", "__id", "key", "row", "own", "n_bytes"):
+        df = df.withColumn(c, F.lit(f"clash {c}"))
+    path = str(tmp_path / "s")
+    names = sharding.write_shards(df, path, 50_000)
+    back = spark.read.parquet(path)
+    assert sorted((r["doc_id"], r["text"]) for r in back.select("doc_id", "text").collect()) == sorted(rows)
+    assert back.where("depth = 'clash depth' and Shard = 'clash shard' and own = 'clash own'").count() == len(rows)
+    assert all(n <= 50_000 or c == 1 for n, c in _bytes_on_disk(spark, path, names).values())
 
 
 # -- 10 chat ----------------------------------------------------------------------------------

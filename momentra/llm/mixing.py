@@ -99,36 +99,36 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, po
 
 
 @shared.tidied
-def probabilities(docs: DataFrame, targets=None, power: float = 0.8, rounds: int = 60, topics=TOPICS) -> DataFrame:
-    """Every row with ``m_source, m_lang, m_topic, n_tokens, probability, selected`` appended."""
+def probabilities(docs: DataFrame, carry: Column, targets=None, power: float = 0.8, rounds: int = 60, topics=TOPICS) -> DataFrame:
+    """``row`` (``carry``), ``source, lang, topic, n_tokens, probability, selected`` of every row.
+
+    What is carried and told of a text is written once; the draw needs no text.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    low = shared.free_name(docs, "low")
-    docs = docs.withColumn(low, F.lower(text))
-    told = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("m_source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("m_lang"), topic_of(F.col(low), topics).alias("m_topic"), token_count(text).alias("n_tokens")).drop(low)
-    cells = told.groupBy(*[F.col(f"m_{n}").alias(n) for n in _NAMES]).agg(F.sum("n_tokens").alias("tokens"))
-    cells = shared.written(cells, "cells")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    told = docs.select(carry.alias("row"), key.alias("key"), name("source").alias("source"), name("lang").alias("lang"), text.alias("text"), F.lower(text).alias("low"))
+    told = shared.written(told.select("row", "key", "source", "lang", topic_of(F.col("low"), topics).alias("topic"), token_count(F.col("text")).alias("n_tokens")), "told")
+    cells = shared.written(told.groupBy(*_NAMES).agg(F.sum("n_tokens").alias("tokens")), "cells")
     ratio = fit(cells, targets, power, rounds).withColumn("ratio", F.col("fitted") / F.col("tokens"))
     most = ratio.agg(F.max("ratio")).first()[0] or 1.0
-    ratio = ratio.select(*[F.col(n).alias(f"m_{n}") for n in _NAMES], F.round(F.col("ratio") / most, 9).alias("probability"))
+    ratio = ratio.select(*_NAMES, F.round(F.col("ratio") / most, 9).alias("probability"))
     if ratio.count() <= 200_000:  # a few dozen bytes a cell
         ratio = F.broadcast(ratio)
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    out = told.join(ratio, [f"m_{n}" for n in _NAMES], "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return out.withColumn("selected", drawn < F.col("probability"))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), "key")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    out = told.join(ratio, [*_NAMES], "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    return out.select("row", *_NAMES, "n_tokens", "probability", (drawn < F.col("probability")).alias("selected"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their own columns."""
-    own = {c.lower(): f"own_{i}" for i, c in enumerate(docs.columns)}
-    clash = {"m_source", "m_lang", "m_topic", "n_tokens", "probability", "selected"} & set(own)
-    names = {c: own[c.lower()] for c in docs.columns if c.lower() in clash}
-    renamed = docs.withColumnsRenamed(names)
-    return probabilities(renamed, **options).where("selected").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return probabilities(docs, row, **options).where("selected").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    out = probabilities(shared.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", F.col("m_source").alias("source"), F.col("m_lang").alias("lang"), F.col("m_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "selected")
+    out = probabilities(shared.table(spark, sf_dir, "documents"), F.col("doc_id"))
+    return out.select(F.col("row").alias("doc_id"), *_NAMES, "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
 def _op4_sql(power: float = 0.8, rounds: int = 60) -> str:

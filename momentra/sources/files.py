@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_invisible
 
 VIDEO_ID = r"^[A-Z]\d{2}_V\d{3}$"
+LONG_ID = r"^[A-Z]\d{2,}_V\d{3}$"  # of a corpus with more than 99 batches
 
 
 def int_of(c: Column) -> Column:
@@ -36,15 +37,15 @@ def read_map_csv(spark: SparkSession, path: str) -> DataFrame:
     return parse_map_rows(lines)
 
 
-def build_manifest(files: DataFrame, maps: DataFrame) -> DataFrame:
-    """Keyframe files LEFT JOIN maps; ids are dense over (video_id, n).
+def build_manifest(files: DataFrame, maps: DataFrame, video: str = VIDEO_ID) -> DataFrame:
+    """Keyframe files LEFT JOIN maps; ids are dense over (video_id, n). Files whose video is not named as ``video`` go.
 
     A file without a map row falls back to one frame a second. Ids are a running count of videos
     (one row each) plus a position inside the video, so no task sorts all rows.
     """
     from pyspark.sql import Window
 
-    rows = files.where(F.col("video_id").rlike(VIDEO_ID)).join(maps, ["video_id", "n"], "left")
+    rows = files.where(F.col("video_id").rlike(video)).join(maps, ["video_id", "n"], "left")
     base = rows.groupBy("video_id").agg(F.count("*").alias("c"))
     base = base.select("video_id", (F.sum("c").over(Window.orderBy("video_id")) - F.col("c")).alias("base"))
     rows = rows.join(base, "video_id").withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("n")) - 1)

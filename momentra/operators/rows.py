@@ -21,16 +21,16 @@ def dedupe_first(rows: DataFrame, keys: list, order="rank") -> DataFrame:
     return rows.withColumn("__d", F.row_number().over(w)).where("__d = 1").drop("__d")
 
 
-def _valid() -> Column:
-    return F.col("video_id").rlike(VIDEO_ID)
+def _valid(video: str = VIDEO_ID) -> Column:
+    return F.col("video_id").rlike(video)
 
 
 def kis_rows(rows: DataFrame, limit: int = 100) -> DataFrame:
     return rerank(dedupe_first(rows.where(_valid() & (F.col("frame_idx") >= 0)), ["video_id", "frame_idx"]), "rank", limit=limit)
 
 
-def qa_rows(rows: DataFrame, limit: int = 100) -> DataFrame:
-    told = rows.where(_valid() & (F.col("frame_idx") >= 0)).withColumn("key", F.lower(sanitize_answer(F.col("answer"))))
+def qa_rows(rows: DataFrame, limit: int = 100, video: str = VIDEO_ID) -> DataFrame:
+    told = rows.where(_valid(video) & (F.col("frame_idx") >= 0)).withColumn("key", F.lower(sanitize_answer(F.col("answer"))))
     return rerank(dedupe_first(told, ["video_id", "frame_idx", "key"]).drop("key"), "rank", limit=limit)
 
 

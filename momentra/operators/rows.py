@@ -39,8 +39,8 @@ def increasing(frames: Column) -> Column:
     return (F.size(frames) > 0) & F.forall(F.zip_with(F.slice(frames, 1, F.size(frames) - 1), F.slice(frames, 2, F.size(frames)), lambda a, b: F.coalesce(b > a, F.lit(False))), lambda x: x)
 
 
-def trake_rows(rows: DataFrame, limit: int = 100) -> DataFrame:
-    ok = rows.where(_valid() & increasing(F.col("frames")))
+def trake_rows(rows: DataFrame, limit: int = 100, video: str = VIDEO_ID) -> DataFrame:
+    ok = rows.where(_valid(video) & increasing(F.col("frames")))
     return rerank(dedupe_first(ok, ["video_id", "frames"]), "rank", limit=limit)
 
 

@@ -21,7 +21,7 @@ def late(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["build_manifest", "write_qa"])
+@pytest.mark.parametrize("name", ["build_manifest", "write_qa", "write_trake", "write_kis"])
 def test_batches_beyond_99(spark, late, name):
     ours, theirs = same(QUERIES[name](spark, late), connect(late), SQL[name])
     assert ours == theirs and any("L100_" in str(r) for r in ours) == (name != "write_kis")

@@ -13,7 +13,7 @@ from .scans import _BOTH, both_runs
 
 @query("dense_topk", "SELECT query_id, global_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, global_id) AS rank FROM a64) WHERE rank <= 100")
 def dense_topk(t):
-    return rounded(fusion.top_k(t.all_scores(t.vectors), 100, ["query_id"])).select("query_id", "global_id", "score", "rank")
+    return rounded(t.best(t.vectors, t.query_set(t.vectors), 100)).select("query_id", "global_id", "score", "rank")
 
 
 @query("ann_topk_ivf")

@@ -1,8 +1,11 @@
 """What only tables beyond the smallest scale show: long batch names, copies, searches in several tiles."""
 
+import random
+
 import numpy as np
 import pytest
 
+from momentra.operators import exact
 from momentra.plans import registry
 
 from .oracle import connect, same
@@ -25,3 +28,56 @@ def late(spark, tmp_path_factory):
 def test_batches_beyond_99(spark, late, name):
     ours, theirs = same(QUERIES[name](spark, late), connect(late), SQL[name])
     assert ours == theirs and any("L100_" in str(r) for r in ours) == (name != "write_kis")
+
+
+@pytest.mark.parametrize("name", ["answer_variant_rows", "build_plan", "tune_weights", "dense_topk"])
+def test_copies_and_late_ids(spark, late, name):
+    ours, theirs = same(QUERIES[name](spark, late), connect(late), SQL[name])
+    assert ours == theirs and ours
+
+
+def _brute(rows, asked, k):
+    """Best rows by plain sums, component after component; null scores last, no number first."""
+
+    def score(q, v):
+        if q is None or v is None or len(q) != len(v) or None in v or None in q:
+            return None
+        s = 0.0
+        for a, b in zip(q, v, strict=True):
+            s += a * b
+        return s
+
+    def place(r):
+        s = r[1]
+        return (2, 0.0, r[0]) if s is None else (0, 0.0, r[0]) if s != s else (1, -s, r[0])
+
+    return {q: sorted(((i, score(qv, v)) for i, v in rows), key=place)[:k] for q, qv in asked}
+
+
+@pytest.mark.parametrize("copies, block, chunk", [(1, 4096, 8192), (1, 3, 16), (40, 4, 32), (400, 2, 64)])
+def test_best_against_brute_force(spark, copies, block, chunk):
+    rng = random.Random(copies)
+    pool = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(max(2, 400 // copies))]
+    rows = [(i, pool[rng.randrange(len(pool))]) for i in range(400)]
+    rows[7] = (7, None)
+    rows[8] = (8, [0.0] * 8)
+    rows[9] = (9, [1.0] * 7 + [None])
+    rows[10] = (10, [1.0] * 7 + [float("inf")])
+    rows[11] = (11, [float("nan")] * 8)
+    asked = [(i, v) for i, v in rows if i % 50 == 0 or i in (7, 8, 10)]
+    df = spark.createDataFrame(rows, "global_id long, v array<double>")
+    some = spark.createDataFrame(asked, "query_id long, qv array<double>")
+    got: dict = {}
+    for r in exact.best(df, some, 20, (400, len(asked)), block, chunk).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["global_id"], r["score"]))
+    want = _brute(rows, asked, 20)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert repr(got[q]) == repr(want[q])
+
+
+def test_a_lane_is_searched_once(spark, late):
+    """Queries that read a lane several times share one search; no plan holds pairs of rows."""
+    for name in ("query_confidence", "neighbor_boost"):
+        plan = QUERIES[name](spark, late)._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan and "MapInArrow" not in plan

@@ -30,7 +30,7 @@ def test_batches_beyond_99(spark, late, name):
     assert ours == theirs and any("L100_" in str(r) for r in ours) == (name != "write_kis")
 
 
-@pytest.mark.parametrize("name", ["answer_variant_rows", "build_plan", "tune_weights", "dense_topk"])
+@pytest.mark.parametrize("name", ["rocchio", "answer_variant_rows", "build_plan", "tune_weights", "dense_topk"])
 def test_copies_and_late_ids(spark, late, name):
     ours, theirs = same(QUERIES[name](spark, late), connect(late), SQL[name])
     assert ours == theirs and ours

@@ -30,7 +30,7 @@ def test_batches_beyond_99(spark, late, name):
     assert ours == theirs and any("L100_" in str(r) for r in ours) == (name != "write_kis")
 
 
-@pytest.mark.parametrize("name", ["rocchio", "answer_variant_rows", "build_plan", "tune_weights", "dense_topk"])
+@pytest.mark.parametrize("name", ["rocchio", "context_boost", "answer_variant_rows", "build_plan", "tune_weights", "dense_topk"])
 def test_copies_and_late_ids(spark, late, name):
     ours, theirs = same(QUERIES[name](spark, late), connect(late), SQL[name])
     assert ours == theirs and ours
@@ -78,6 +78,6 @@ def test_best_against_brute_force(spark, copies, block, chunk):
 
 def test_a_lane_is_searched_once(spark, late):
     """Queries that read a lane several times share one search; no plan holds pairs of rows."""
-    for name in ("query_confidence", "neighbor_boost"):
+    for name in ("query_confidence", "neighbor_boost", "context_boost"):
         plan = QUERIES[name](spark, late)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "MapInArrow" not in plan

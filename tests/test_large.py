@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from momentra.operators import exact
+from momentra.operators import bm25, exact, index
 from momentra.plans import registry
 
 from .oracle import connect, same
@@ -81,3 +81,31 @@ def test_a_lane_is_searched_once(spark, late):
     for name in ("query_confidence", "neighbor_boost", "context_boost"):
         plan = QUERIES[name](spark, late)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "MapInArrow" not in plan
+
+
+def test_candidates_are_scored_without_an_index(spark, monkeypatch):
+    """fuse_signals scores its candidates' texts from one pass of counts; it used to index every text first."""
+    monkeypatch.setattr(index.TextIndex, "ensure", lambda *a, **k: pytest.fail("an index is built"))
+    name, folder = "fuse_signals", "/root/testdata/sf0.001"
+    ours, theirs = same(QUERIES[name](spark, folder), connect(folder), SQL[name])
+    assert ours == theirs and ours
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_candidate_scores_are_those_of_all(spark, again):
+    """Empty and null texts count nowhere; rows of a repeated document count as one, as they do without candidates."""
+    texts = ["red car", "a red red bus", "", None, "Blue CAR, blue sky", "sky", "...", "đường phố red"]
+    docs = [(i % 5, i, x) for i, x in enumerate(texts)] + [(1, 1, "a red red bus")] * again
+    docs = spark.createDataFrame(docs, "key long, doc_no int, text string")
+    asked = spark.createDataFrame([(0, "red car red"), (1, "duong sky"), (2, ""), (9, "bus")], "query_id long, text string")
+    pairs = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (0, 3), (1, 0), (1, 2), (2, 1), (3, 1), (9, 77)], "query_id long, key long")
+    read = lambda df: sorted((r["query_id"], r["key"], round(r["score"], 12)) for r in df.collect())
+    every = read(bm25.score(docs, asked).join(pairs.distinct(), ["query_id", "key"]))
+    assert read(bm25.score(docs, asked, pairs)) == every and len(every) >= 4
+
+
+def test_a_text_is_parted_once(spark):
+    """No filter on tokens: it would part every text a second time."""
+    docs = spark.createDataFrame([(1, 0, "a b")], "key long, doc_no int, text string")
+    plan = bm25.postings(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1

@@ -109,3 +109,9 @@ def test_a_text_is_parted_once(spark):
     docs = spark.createDataFrame([(1, 0, "a b")], "key long, doc_no int, text string")
     plan = bm25.postings(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1
+
+
+def test_trials_are_not_dealt_out(spark, late):
+    """tune_weights multiplies by its 25 trials after its only exchange of rows."""
+    plan = QUERIES["tune_weights"](spark, late)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "hashpartitioning(trial" in plan and "hashpartitioning(query_id" in plan

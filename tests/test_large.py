@@ -115,3 +115,10 @@ def test_trials_are_not_dealt_out(spark, late):
     """tune_weights multiplies by its 25 trials after its only exchange of rows."""
     plan = QUERIES["tune_weights"](spark, late)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 2 and "hashpartitioning(trial" in plan and "hashpartitioning(query_id" in plan
+
+
+@pytest.mark.parametrize("name", ["caption_step_signal", "low_confidence_retry", "minmax", "monotonize", "neighbor_offset_join", "qa_hedge_rows", "qualifier_score", "run_diff_full_outer", "scan_signal_dumps", "select_weak", "video_concentration", "vlm_rerank"])
+def test_no_pairs_in_the_plan(spark, late, name):
+    """These queries read their lanes from the searched tables; their plans held all pairs of rows before."""
+    plan = QUERIES[name](spark, late)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "MapInArrow" not in plan

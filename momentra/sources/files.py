@@ -173,9 +173,16 @@ def submission_lines(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "rank", F.concat_ws(",", *cells).alias("line"))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by ``key`` over all cores, by number: Spark would join these few bytes into one task, but the
+    work of a writer is in its folders."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartitionById(n, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+
 def write_submission(rows: DataFrame, path: str) -> None:
     """One folder a query with its lines in rank order (committed atomically)."""
-    lines = submission_lines(rows).repartition("query_id").sortWithinPartitions("query_id", "rank")
+    lines = _dealt(submission_lines(rows), "query_id").sortWithinPartitions("query_id", "rank")
     lines.select("query_id", "line").write.partitionBy("query_id").text(path)
 
 
@@ -190,7 +197,8 @@ def write_map_csv(rows: DataFrame, path: str) -> None:
     """Maps as CSV with a header, one folder a video; negative frames are refused before anything is written."""
     if not rows.where("frame_idx < 0").isEmpty():
         raise ValueError("negative frame_idx")
-    maps = rows.select("video_id", "n", "pts_time", "fps", "frame_idx").repartition("video_id").sortWithinPartitions("video_id", "n")
+    maps = rows.select("video_id", "n", "pts_time", "fps", "frame_idx")
+    maps = _dealt(maps, "video_id").sortWithinPartitions("video_id", "n")
     maps.write.partitionBy("video_id").option("header", True).csv(path)
 
 

@@ -1,6 +1,7 @@
 """What only tables beyond the smallest scale show: long batch names, copies, searches in several tiles."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -122,3 +123,14 @@ def test_no_pairs_in_the_plan(spark, late, name):
     """These queries read their lanes from the searched tables; their plans held all pairs of rows before."""
     plan = QUERIES[name](spark, late)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("name, key", [("write_kis", "query_id"), ("write_map_csv", "video_id")])
+def test_folders_are_written_by_all_cores(spark, late, name, key):
+    """The rows are few bytes, which Spark joins into one task; that task used to write every folder."""
+    shared, old = Path(spark.conf.get("spark.checkpoint.dir")), set()
+    old.update(shared.iterdir())
+    QUERIES[name](spark, late)
+    (new,) = [d for d in set(shared.iterdir()) - old if not d.name.startswith("lane-top")]
+    writers = [{f.name.split("-")[1] for f in d.glob("part-*")} for d in new.glob(f"{key}=*")]
+    assert len(writers) > 5 and all(len(w) == 1 for w in writers) and len(set.union(*writers)) > 1

@@ -77,6 +77,35 @@ def test_best_against_brute_force(spark, copies, block, chunk):
         assert repr(got[q]) == repr(want[q])
 
 
+def test_vectors_too_short_to_square():
+    """Copies that come after rows of larger ids take their places; those of very short queries were lost by rounding."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(50, 33))[rng.integers(0, 50, 600)]
+    x[:40] *= 1e-200
+    tile = exact._Tile(np.arange(40), x[:40], np.ones(40, bool), 5)
+    for a in reversed(range(0, 600, 16)):
+        z = min(a + 16, 600)
+        tile.add(np.arange(a, z), x[a:z], np.ones(z - a, bool))
+    found = np.concatenate([b["global_id"] for b in tile.found()]).reshape(40, 5)
+    score = sum((x[:40, None, i] * x[None, :, i] for i in range(33)), np.zeros((40, 600)))
+    assert np.array_equal(found, np.argsort(-score, axis=1, kind="stable")[:, :5])
+
+
+def test_few_pairs_are_looked_at_twice():
+    """Beyond the first rows, a product in single precision leaves few pairs; no group of queries is merged for each part of the rows."""
+    x = np.random.default_rng(4).normal(size=(33_000, 16))
+    tile, looked, merged = exact._Tile(np.arange(256), x[:256], np.ones(256, bool), 10), [], []
+    nearest, merge = tile._nearest, tile._merge
+    tile._nearest = lambda some, *rest: (looked.append(len(some)), nearest(some, *rest))[1]
+    tile._merge = lambda a: (merged.append(a), merge(a))[1]
+    for a in range(0, 33_000, 1000):
+        tile.add(np.arange(a, a + 1000), x[a : a + 1000], np.ones(1000, bool))
+    found = [b.to_pydict() for b in tile.found()]
+    assert sum(looked) < 2 * 256 and len(merged) < 33
+    score = sum((x[:256, None, i] * x[None, :, i] for i in range(16)), np.zeros((256, 33_000)))
+    assert np.array_equal(np.concatenate([f["global_id"] for f in found]).reshape(256, 10), np.argsort(-score, axis=1, kind="stable")[:, :10])
+
+
 def test_a_lane_is_searched_once(spark, late):
     """Queries that read a lane several times share one search; no plan holds pairs of rows."""
     for name in ("query_confidence", "neighbor_boost", "context_boost"):
